@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = b" \t\n\x0b\f\r"
@@ -107,3 +108,17 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 def fingerprints(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Of data[start:end] for each pair, wherever it stands; mixed, so all bits serve."""
     return mix64((sums[end] - sums[start]) * powers(INVERSE, len(sums))[start])
+
+
+def id_remainder(column: str, mod: int):
+    """crc32 of the id's text, modulo mod; null for a null id."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(mod))
+
+
+def sample_by_id(rows: DataFrame, most: int, seed: int, id_col: str = "doc_id") -> DataFrame:
+    """The rows of the `most` ids of smallest hash: first the ids alone, then their rows.
+
+    The broadcast side is those ids, so its size has a bound.
+    """
+    ids = rows.where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(most)
+    return rows.join(F.broadcast(ids), id_col, "left_semi")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exact_dedup, mixing, secrets, sharding, topk
-from weftline.llm.common import table
+from weftline.llm import bpe, exact_dedup, langid, mixing, quality, secrets, sharding, topk
+from weftline.llm.common import id_remainder, table
+
+#: Where the tokenizer's file is, on the driver.
+TOKENIZER = os.environ.get("WEFTLINE_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +27,21 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(secrets.find_secrets(docs, model))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null id is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"))
+    model = langid.fit_languages(docs.where("not held_out"))
+    return langid.predict_languages(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null id is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(True)).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null")
+    net = quality.fit_quality(docs.where("not held_out").join(labels, "doc_id"))
+    return quality.score_quality(docs, net).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law rows: equal texts are spread like any other rows, whatever their number."""
     text = F.col("text").cast("binary")
@@ -41,7 +60,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk, op2_secrets, op5_sharding, op7_mixing, op8_exact_dedup)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+    return encoded.select("doc_id", *bpe.token_digest(encoded))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk, op2_secrets, op4_langid, op5_sharding, op6_quality, op7_mixing, op8_exact_dedup, op9_bpe)}
 
 SQL: dict[str, str] = {
     "op1_topk": """

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import sample_by_id
+
 # The patterns and least lengths of the base kinds, and the order of kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20+ characters: a match runs to the end of its run, so failing ones hide nothing
@@ -58,8 +60,7 @@ def labelled_samples(docs: DataFrame, sample_rows: int = 4000, generated: int =
     generated strings over the Base64, hexadecimal and capital alphabets.
     """
     spark = docs.sparkSession
-    chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")  # sample_rows ids at most
+    rows = sample_by_id(docs.select("doc_id", "text"), sample_rows, seed)
     text = F.col("text")
     values = F.concat(F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), F.regexp_extract_all(text, F.lit(HEX), F.lit(0)))
     rest = text
