@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, exact_dedup, langid, mixing, quality, secrets, sharding, topk
+from weftline.llm import bpe, exact_dedup, langid, mixing, quality, secrets, sharding, suffix_dedup, topk
 from weftline.llm.common import id_remainder, table
 
 #: Where the tokenizer's file is, on the driver.
@@ -65,7 +65,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", *bpe.token_digest(encoded))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk, op2_secrets, op4_langid, op5_sharding, op6_quality, op7_mixing, op8_exact_dedup, op9_bpe)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", *suffix_dedup.removal_digest())
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk, op2_secrets, op4_langid, op5_sharding, op6_quality, op7_mixing, op8_exact_dedup, op9_bpe, op10_suffix_dedup)}
 
 SQL: dict[str, str] = {
     "op1_topk": """
