@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, exact_dedup, langid, mixing, quality, secrets, sharding, suffix_dedup, topk
+from weftline.llm import bpe, exact_dedup, langid, mixing, ngram_join, quality, secrets, sharding, suffix_dedup, topk
 from weftline.llm.common import id_remainder, table
 
 #: Where the tokenizer's file is, on the driver.
@@ -27,6 +27,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(secrets.find_secrets(docs, model))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A null id is held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"))
@@ -69,7 +73,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", *suffix_dedup.removal_digest())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk, op2_secrets, op4_langid, op5_sharding, op6_quality, op7_mixing, op8_exact_dedup, op9_bpe, op10_suffix_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk, op2_secrets, op3_ngram_join, op4_langid, op5_sharding, op6_quality, op7_mixing, op8_exact_dedup, op9_bpe, op10_suffix_dedup)}
 
 SQL: dict[str, str] = {
     "op1_topk": """
