@@ -253,7 +253,7 @@ SQL = {
     "fan_in": f"with {E_} select * from e where key = '7' union all select * from e where key = '7' union all select * from e where key = '8'",
     "modulus": "select event_id, ((event_id - 500) % 3 + 3) % 3 as m from events",
     "chunk_events": "select event_id // 19 as chunk, count(*) as n, round(sum(value), 6) as total, min(event_id) as first_id from events group by 1",
-    "chunk_by_user": f"with {E_}, r as (select *, row_number() over (partition by key order by event_id) - 1 as at from e) select key, at // 4 as chunk, count(*) as n, max(at % 4)::integer as last_place, min(event_id) as first_id from r group by 1, 2",
+    "chunk_by_user": f"with {E_}, r as (select *, row_number() over (partition by key order by event_id) - 1 as nth from e) select key, nth // 4 as chunk, count(*) as n, max(nth % 4)::integer as last_place, min(event_id) as first_id from r group by 1, 2",
     "gate_control": f"with {E_}, c as (select *, last_value(case topic when 'purchase' then true when 'error' then false end ignore nulls) over (partition by key order by event_id rows between unbounded preceding and 1 preceding) as open from e) select key, event_id from c where open and topic not in ('purchase', 'error')",
     "gate_after_n": f"with {E_} select key, event_id from e qualify row_number() over (partition by key order by event_id) <= 3",
     # a purchase opens a closed gate and leaves the count of an open one: at most two messages follow an opening
@@ -276,14 +276,14 @@ SQL = {
     "publish_delta": f"with {T_}, k as (select * from t qualify row_number() over (partition by key order by event_id) % 3 = 0) select event_id, coalesce(sec - lag(sec) over (partition by key order by event_id), 0.0) as delta from k",
     "receive_gaps": f"with {T_} select event_id, sec - lag(sec) over (partition by topic order by sec, event_id) as gap from t",
     "counter_gaps": f"with {E_}, c as (select event_id, event_id // 2 as counter, lag(event_id // 2, 1, -1) over (partition by key order by event_id) + 1 as expected from e) select event_id, expected, greatest(counter - expected, 0) as missing from c where counter <> expected",
-    "pub_snapshot": f"""with {T_}, c as (select key, floor(sec / 86400) * 86400.0::double as at, count(*) as n from t group by 1, 2), r as (select key, at, (sum(n) over (partition by key order by at))::bigint as total from c),
-        w as (select *, total - coalesce(lag(total) over (partition by key order by at), total) as "window", at - lag(at) over (partition by key order by at) as span from r)
-        select key, at, total, "window", round(coalesce("window"::double / span, 0.0), 9) as rate from w""",
+    "pub_snapshot": f"""with {T_}, c as (select key, floor(sec / 86400) * 86400.0::double as "at", count(*) as n from t group by 1, 2), r as (select key, "at", (sum(n) over (partition by key order by "at"))::bigint as total from c),
+        w as (select *, total - coalesce(lag(total) over (partition by key order by "at"), total) as "window", "at" - lag("at") over (partition by key order by "at") as span from r)
+        select key, "at", total, "window", round(coalesce("window"::double / span, 0.0), 9) as rate from w""",
     "sub_snapshot": "select user_id, count(*) as received_total, arg_max(event_type, event_id) as last_channel from events group by user_id",
     "trace_merge": f"with {T_} select sec as timestamp, case topic when 'click' then 0 else 1 end::integer as queue from t where topic in ('click', 'view') order by sec, case when event_id % 3 = 0 then -1 else event_id end, 2 limit 100",
     "trace_scope": f"with {E_} select event_id, topic, key as endpoint_id, 'lease' as metric from e where topic in ('click', 'view') and key in ('1', '2', '3', '4')",
-    "trace_windows": f"""with {T_}, c as (select distinct key, sec as at from t where topic = 'purchase')
-        select t.event_id, t.key as endpoint_id, t.sec as timestamp from t where topic <> 'purchase' and t.sec < (select max(at) from c where c.key = t.key and c.at <= t.sec) + 3600.0""",
+    "trace_windows": f"""with {T_}, c as (select distinct key, sec as since from t where topic = 'purchase')
+        select t.event_id, t.key as endpoint_id, t.sec as timestamp from t where topic <> 'purchase' and t.sec < (select max(since) from c where c.key = t.key and c.since <= t.sec) + 3600.0""",
     "drop_summary": f"with {E_} select topic, count(*) as received, max(event_id) - min(event_id) + 1 - count(*) as dropped, round(avg(value), 6) as latency_mean from e group by topic",
     "telemetry_view": f"with {T_}, g as (select topic, key, count(*) as total, max(sec) - min(sec) as span from t group by all) select topic, key, total, round(coalesce(case when span <> 0 then total / span end, 0.0), 9) as rate from g order by rate desc, total desc, topic, key limit 20",
     "log_encode": "select event_id, (props::json->>'k')::bigint as k from events",

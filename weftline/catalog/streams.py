@@ -14,7 +14,7 @@ from weftline.streaming import stream as s
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
-    return stream_files(spark, f"{d}/events.parquet", schema)
+    return stream_files(spark, f"{d}/events.parque[t]", schema)  # a pattern, as the table may be one file
 
 
 def stream_filter(spark, d):

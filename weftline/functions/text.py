@@ -42,7 +42,7 @@ def comparison_alpha(score: Column, band: float = 10.0) -> Column:
 
 def formatted(metric: Column, value: Column, relative: bool) -> Column:
     missing = value.isNull() | F.isnan(value)
-    shown = F.concat(F.format_string("%.1f", value), F.lit("%")) if relative else F.when(metric.isin(*LATENCIES, "data_rate"), F.format_number(value, 3)).otherwise(F.format_number(value, 2))
+    shown = F.concat(F.format_string("%.1f", F.bround(value, 1)), F.lit("%")) if relative else F.when(metric.isin(*LATENCIES, "data_rate"), F.format_number(value, 3)).otherwise(F.format_number(value, 2))
     return F.when(missing, "nan").otherwise(shown)
 
 

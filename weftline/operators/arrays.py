@@ -11,6 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
+
+
+def failed(message: str, kind: DataType | str) -> Column:
+    """An error in the place of an array; read from text, as generated code takes no cast of it."""
+    return F.from_json(F.raise_error(F.lit(message)).cast("string"), kind)
 
 
 def strides(shape: Sequence[int]) -> list[int]:
@@ -21,7 +27,7 @@ def to_long(df: DataFrame, keys: Sequence[str], data: str, shape: Sequence[int],
     """A row for each element.  The data must have as many elements as the shape says."""
     if len(set(dims)) != len(dims) or len(dims) != len(shape):
         raise ValueError("dims must be unique, one for each length of the shape")
-    checked = F.when(F.size(data) == math.prod(shape), F.col(data)).otherwise(F.raise_error(F.lit("data does not fit its shape")).cast(df.schema[data].dataType))
+    checked = F.when(F.size(data) == math.prod(shape), F.col(data)).otherwise(failed("data does not fit its shape", df.schema[data].dataType))
     out = df.select(*keys, F.posexplode(checked).alias("_i", value))
     places = [F.pmod(F.floor(F.col("_i") / s), F.lit(n)).cast("int").alias(d) for d, n, s in zip(dims, shape, strides(shape), strict=True)]
     return out.select(*keys, *places, value)
@@ -132,7 +138,7 @@ def sliding_windows(data: Column | str, width: int, step: int = 1) -> Column:
     if width == 0:
         return empty
     some = F.transform(F.sequence(F.lit(0), n - width, F.lit(step)), lambda i: F.slice(data, i + 1, width))
-    return F.when(n < width - 1, F.raise_error(F.lit("window is longer than the array")).cast("array<array<double>>")).when(n < width, empty).otherwise(some)
+    return F.when(n < width - 1, failed("window is longer than the array", "array<array<double>>")).when(n < width, empty).otherwise(some)
 
 
 def sliding_windows_long(df: DataFrame, keys: Sequence[str], dim: str, width: int, step: int = 1, length: int | None = None) -> DataFrame:

@@ -42,9 +42,9 @@ class _Gate(StatefulProcessor):
         gate = GateState(self.start_open, self.default_open, self.default_after)
         if self.state.exists():
             gate.open, gate.handled = self.state.get()
-        some = pd.concat(list(rows)).sort_values([self.order_by, "_side"], kind="stable")
+        some = pd.concat(list(rows)).sort_values([self.order_by, "gate_side"], kind="stable")
         keep = []
-        for side, turned in zip(some["_side"], some["_open"], strict=True):
+        for side, turned in zip(some["gate_side"], some["gate_open"], strict=True):
             if side == 0:
                 gate.turn(bool(turned))
                 keep.append(False)
@@ -63,9 +63,9 @@ def gate(messages: DataFrame, key: str, order_by: str, controls: DataFrame | Non
     Within a step rows are taken in order; the state is kept between steps.
     """
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    both = messages.select("*", F.lit(None).cast("boolean").alias("_open"), F.lit(1).alias("_side"))
+    both = messages.select("*", F.lit(None).cast("boolean").alias("gate_open"), F.lit(1).alias("gate_side"))
     if controls is not None:
-        both = both.unionByName(controls.select(key, order_by, F.col("open").alias("_open"), F.lit(0).alias("_side")), allowMissingColumns=True)
+        both = both.unionByName(controls.select(key, order_by, F.col("open").alias("gate_open"), F.lit(0).alias("gate_side")), allowMissingColumns=True)
     return both.groupBy(key).transformWithStateInPandas(_Gate(order_by, start_open, default_open, default_after, messages.columns), messages.schema, "Append", "None")
 
 
