@@ -143,7 +143,8 @@ def fit_languages(labelled: DataFrame, sample_rows: int = 3000, seed: int = 3) -
         got = sorted((r for b in batches for r in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["lang"].to_pylist(), strict=True)), key=lambda r: (hash_text(r[0]), r[1]))[:sample_rows]
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(vars(train([r[1:] for r in got])))], pa.binary())})
 
-    return LanguageModel(**pickle.loads(rows.coalesce(1).mapInArrow(run, "model binary").first()[0]))
+    found = rows.coalesce(1).mapInArrow(run, "model binary").first()  # none where there is no partition
+    return LanguageModel(**pickle.loads(found[0])) if found else train([])
 
 
 def hash_text(x: object) -> bytes:

@@ -112,7 +112,9 @@ class ByteNet:
         chunks = np.bincount(x.doc, minlength=x.n)
         g = back[x.doc, :FILTERS] / chunks[x.doc, None]
         highest = f[x.doc, FILTERS:]
-        g = g + back[x.doc, FILTERS:] * (hot == highest) * (np.arange(len(hot))[:, None] >= first[x.doc, None])
+        ties = np.cumsum(hot == highest, axis=0)
+        before = np.concatenate([np.zeros((1, FILTERS), int), ties])[first]
+        g = g + back[x.doc, FILTERS:] * ((hot == highest) & (ties - before[x.doc] == 1))  # the first of equal chunks
         g = g * (peaks + self.bias > 0)
         d_bytes, d_filters = np.zeros_like(self.bytes), np.zeros_like(self.filters)
         for j in range(WIDTH):
@@ -162,7 +164,8 @@ def fit_quality(labelled: DataFrame, sample_rows: int = 1500, seed: int = 13) ->
         got.sort(key=lambda r: (hashlib.blake2b(str(r[0]).encode()).digest(), r[1:]))
         yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(vars(train([r[1:] for r in got[:sample_rows]])))], pa.binary())})
 
-    return ByteNet(**pickle.loads(rows.coalesce(1).mapInArrow(run, "net binary").first()[0]))
+    found = rows.coalesce(1).mapInArrow(run, "net binary").first()  # none where there is no partition
+    return ByteNet(**pickle.loads(found[0])) if found else train([])
 
 
 def score_quality(docs: DataFrame, net: ByteNet) -> DataFrame:
