@@ -67,15 +67,15 @@ def grace(entries: Iterable[Entry], budget: int, level: int = 1, hashed: Callabl
 
     Once it is full, contents that it holds still meet in it; others go to
     spill files by their hash, and each file is treated likewise with the next
-    hash.  At most budget bytes plus one entry stay in memory; each level of
-    files holds what did not fit before, so the recursion ends.
+    hash.  At most budget bytes plus one entry stay in memory; each level's
+    table takes one content at least, so the recursion ends.
     """
     table = OpenTable()
     with tempfile.TemporaryDirectory() as folder:
         files: list[IO[bytes]] = []
         for e in entries:
             h = hashed(e[0], level)
-            if table.bytes < budget or table.slots[table._slot(e[0], h)] >= 0:
+            if not table.entries or table.bytes < budget or table.slots[table._slot(e[0], h)] >= 0:
                 table.add(e, h)
             else:
                 if not files:
