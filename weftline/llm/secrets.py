@@ -16,6 +16,9 @@ HEX = r"[0-9a-f]{24,}"  # [0-9a-f]+ of 24+ characters, likewise
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "random")
 
+#: Matches that are added up one by one.
+BLOCK = 256
+
 #: Runs of these characters are what the models judge.
 TOKEN = r"[A-Za-z0-9+/_=-]"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -41,7 +44,19 @@ def spans(text: Column, pattern: str, kind: int, group: int | None = None, least
         one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["len"]).alias("end"), x["word"].alias("word"))
         return F.struct((start + x["len"]).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
 
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def shifted(a: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda m: F.struct((m["start"] + a["at"]).alias("start"), m["kind"].alias("kind"), (m["end"] + a["at"]).alias("end"), m["word"].alias("word")))
+        return F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], moved).alias("out"))
+
+    # Matches are added up in blocks and blocks then joined, so that many of them cost little more than their number;
+    # the array of one element makes a variable of the steps, which are not computed again for each block.
+    def blocks(all_steps: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / BLOCK).cast("int"))
+        return F.transform(numbers, lambda i: F.aggregate(F.slice(all_steps, i * BLOCK + 1, F.lit(BLOCK)), begin, step))
+
+    folded = F.aggregate(F.element_at(F.transform(F.array(steps), blocks), 1), begin, shifted, lambda a: a["out"])
     folded = F.filter(folded, lambda x: F.length(x["word"]) >= least) if least else folded
     return F.when(text.rlike(pattern), folded).otherwise(none)
 
