@@ -90,3 +90,24 @@ def test_trace(spark):
     assert sink.getvalue().startswith("Time,Source")
     assert listener.snapshot([], spark).count() == 0
     assert callable(drain)
+
+
+def test_pause_and_settings(spark, tmp_path):
+    from weftline.streaming.stream import Controlled, configured
+
+    folder = str(tmp_path / "in")
+    spark.range(5).write.parquet(folder)
+    stream = spark.readStream.schema("id long").parquet(folder)
+    seen = []
+    q = Controlled(stream, lambda df, n: seen.extend(r["id"] for r in df.collect()))
+    q.resume()
+    q.sync()
+    spark.range(5, 8).write.mode("append").parquet(folder)
+    q.resume()
+    q.sync()
+    assert sorted(seen) == list(range(8))
+    scale, got = [10], []
+    run = configured(stream, lambda: scale[0], lambda df, k: df.select((F.col("id") * k).alias("x")), lambda df, n: got.extend(r["x"] for r in df.collect()))
+    run.processAllAvailable()
+    run.stop()
+    assert sorted(got) == [10 * i for i in range(8)]

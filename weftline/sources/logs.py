@@ -67,3 +67,8 @@ def oscillator(spark: SparkSession, n: int, rate: float, frequency: float) -> Da
 def stream_files(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1, kind: str = "parquet") -> DataFrame:
     """A stream of a folder's files, so many in each step."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(kind).load(path)
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Result rows as JSON documents."""
+    results.write.mode("overwrite").json(path)

@@ -136,3 +136,31 @@ def stop_after_time(q: StreamingQuery, seconds: float) -> None:
 def rate_source(spark: SparkSession, hz: int) -> DataFrame:
     """value counts up at so many rows a second."""
     return spark.readStream.format("rate").option("rowsPerSecond", hz).load()
+
+
+class Controlled:
+    """A streaming query that can be paused: it stops, and resumes from its checkpoint without loss."""
+
+    def __init__(self, stream: DataFrame, sink: Callable[[DataFrame, int], None], every: str = "0 seconds"):
+        self.stream, self.sink, self.every = stream, sink, every
+        self.state = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+        self.query: StreamingQuery | None = None
+
+    def resume(self) -> None:
+        if self.query is None or not self.query.isActive:
+            self.query = self.stream.writeStream.foreachBatch(self.sink).option("checkpointLocation", self.state).trigger(processingTime=self.every).start()
+
+    def sync(self) -> None:
+        """Pause once all that is there has been handled."""
+        if self.query is not None and self.query.isActive:
+            self.query.processAllAvailable()
+        self.pause()
+
+    def pause(self) -> None:
+        if self.query is not None:
+            self.query.stop()
+
+
+def configured(stream: DataFrame, settings: Callable[[], object], apply: Callable[[DataFrame, object], DataFrame], sink: Callable[[DataFrame, int], None], **options: str) -> StreamingQuery:
+    """Each step under the settings that hold when it starts: a change applies from the next step on."""
+    return stream.writeStream.foreachBatch(lambda df, n: sink(apply(df, settings()), n)).options(**options).start()
