@@ -65,13 +65,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     docs = docs.drop("copy", "n_copies", "shuffle_key")
     rates = source_rates(docs, weights, epochs, source_col, size).withColumn("_pieces", F.greatest(F.lit(1), F.ceil(F.col("_rate") / PIECE)).cast("int"))
     rates = rates.withColumn("_steps", poisson_steps(F.col("_rate") / F.col("_pieces")))
-    one = lambda j: F.size(F.filter("_steps", lambda c: c <= uniform(F.lit(seed), F.col(id_col), j)))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_pieces")), F.lit(0), lambda a, j: a + one(j))
+    # Each hash is a lambda's variable, and so is the count: they are evaluated once a row.
+    hashes = F.transform(F.sequence(F.lit(1), F.col("_pieces")), lambda j: uniform(F.lit(seed), F.col(id_col), j))
+    count = F.aggregate(hashes, F.lit(0), lambda a, u: a + F.size(F.filter("_steps", lambda c: c <= u)))
+    copies = lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("copy"), n.alias("n_copies"))))
     out = (
         docs.join(rates, docs[source_col].eqNullSafe(rates["_source"]))
-        .withColumn("n_copies", count)
-        .where("n_copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+        .withColumn("_copy", F.explode(F.element_at(F.transform(F.array(count), copies), 1)))
+        .withColumns({"copy": F.col("_copy.copy"), "n_copies": F.col("_copy.n_copies")})
         .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string"))))
         .select(*docs.columns, "copy", "n_copies", "shuffle_key")
     )
