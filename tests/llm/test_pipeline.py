@@ -41,9 +41,10 @@ def test_stages_against_brute_force(spark):
 
 def test_stages_on_odd_and_empty_tables(spark):
     for given in (spark.createDataFrame(ODD, DOCS).withColumn("extra", F.lit(1)).withColumn("kept", F.lit("x")), spark.createDataFrame([], DOCS)):
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, given, SMALL)
-            assert out.count() <= 8 * max(1, given.count())
+            copies = name == "mixing" and not given.isEmpty()  # a source of a few bytes is repeated until it has its share
+            assert copies or out.count() <= given.count()
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
