@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import cut
 
+#: Up to this many links, of 16 bytes each, one executor task joins them all.
+FEW = 1_000_000
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over links (a, b): (node, label)."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while parent[root] != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for b in batches:
+        for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True):
+            parent.setdefault(x, x)
+            parent.setdefault(y, y)
+            p, q = find(x), find(y)
+            parent[max(p, q)] = min(p, q)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "label": pa.array([find(x) for x in nodes], pa.int64())})
+
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
     """node and label, the smallest node that it reaches, for every node of links (a, b).
 
-    Alternating rounds of large stars and small stars: each node first gives
+    Up to `few` links, counted first, pass through one task.  Beyond,
+    alternating rounds of large and small stars: each node first gives
     its larger neighbours, then its smaller ones, the smallest node it knows.
     The minima combine before each exchange.  Every round is written to the
     shared folder; the driver sees a count and a checksum.
     """
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if links.count() <= few:
+        return cut(links.coalesce(1).mapInArrow(forest, "node long, label long"))
     seen = None
     while True:
         state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

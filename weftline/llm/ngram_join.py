@@ -17,6 +17,8 @@ WORDS = 5
 SLICE = 1 << 20
 #: Partitionings of the domain that are tried before empty projections count.
 SEEDS = 6
+#: A side of the join that fetches texts is broadcast up to this many rows.
+BROADCAST_ROWS = 200_000
 _SPACE = np.zeros(256, bool)
 _SPACE[list(WHITE)] = True
 _STEP = U(0xC2B2AE3D27D4EB4F)
@@ -227,7 +229,7 @@ def shared_signatures(docs: DataFrame, parts: int) -> DataFrame:
         for i, j in slices([len(x) for x in listed], 1 << 22):
             yield batch(_MET, a=[None] * (j - i), b=[None] * (j - i), members=listed[i:j])
 
-    return _texts(docs).mapInArrow(sign, "part int, blob binary").repartition(parts, "part").mapInArrow(meet, "a long, b long, members binary")
+    return _texts(docs).mapInArrow(sign, "part int, blob binary").repartitionById(parts, "part").mapInArrow(meet, "a long, b long, members binary")
 
 
 def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -267,7 +269,9 @@ def linked(pairs: DataFrame, docs: DataFrame, leads: DataFrame, numerator: int =
                 right = [k for k in range(i, j) if cids[k] == own[k]]  # another row may repeat the id
                 yield batch(schema, cid=own[right], items=[sets[k].view(np.int64) for k in right])
 
-    chosen = leads.join(needed, "cid", "left_semi").where("doc_id is not null")
+    chosen = cut(leads.join(needed, "cid", "left_semi").where("doc_id is not null"))
+    if chosen.count() <= BROADCAST_ROWS:  # of two numbers each; else Spark's own joins
+        chosen = F.broadcast(chosen)
     items = cut(_texts(docs).join(chosen, "doc_id").select("cid", "text").mapInArrow(run, "cid long, items array<long>").dropDuplicates(["cid"]))
     side = lambda c: items.select(F.col("cid").alias(c), F.col("items").alias(f"i{c}"))
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -285,50 +289,94 @@ def linked(pairs: DataFrame, docs: DataFrame, leads: DataFrame, numerator: int =
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
 
-def missing_pairs(groups: DataFrame, labels: DataFrame, classes: DataFrame, best_only: bool, block: int = 1024) -> DataFrame:
+def close_pairs(gid: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions (x, y) and distances of pairs within runs of one gid that may link and whose labels differ.
+
+    Rows are in order of gid, then n.  side: 0 or 1 for the blocks of a pair
+    of blocks, whose own pairs are looked at elsewhere; -1 where there is one.
+    """
+    ends = np.searchsorted(gid, gid, "right")
+    count = ends - np.arange(len(gid)) - 1
+    width = np.array([len(w) for w in words])
+
+    def matrix(w: int, which: np.ndarray) -> np.ndarray:
+        """Sketches of these rows, folded to width w."""
+        at, back = np.unique(which, return_inverse=True)
+        return folded([*(words[i] for i in at), bytes(w)])[back]
+
+    for i, j in slices(count.tolist(), 1 << 18):
+        x = np.repeat(np.arange(i, j), count[i:j])
+        y = np.arange(len(x)) - np.repeat(np.cumsum(count[i:j]) - count[i:j], count[i:j]) + x + 1
+        ok = (label[x] != label[y]) & (4 * n[y] <= 5 * n[x]) & ((side[x] < 0) | (side[x] != side[y]))
+        x, y = x[ok], y[ok]
+        both = np.minimum(width[x], width[y])
+        for w in np.unique(both):
+            here = np.flatnonzero(both == w)
+            for k in range(0, len(here), max(1, (1 << 22) // int(w))):
+                p, q = x[here[k : k + (1 << 22) // int(w)]], y[here[k : k + (1 << 22) // int(w)]]
+                far = np.bitwise_count(matrix(int(w), p) ^ matrix(int(w), q)).sum(axis=1, dtype=np.int64)
+                fits = 9 * far <= n[p] + n[q]
+                yield p[fits], q[fits], far[fits]
+
+
+def missing_pairs(groups: DataFrame, labels: DataFrame, classes: DataFrame, first: bool, few: int = 16, block: int = 1024) -> DataFrame:
     """Pairs within groups (gid, cid) that may link and whose labels differ.
 
-    Groups of one label are done.  Others are cut into blocks, and each pair
-    of blocks is compared by sketches in a task of its own; no pair leaves it
-    that the sketches exclude.  best_only: the likeliest for each class and
-    other label.
+    Groups of one label are done.  Others are compared by sketches, and no
+    pair leaves a task that those exclude.  Groups over `block` are cut into
+    blocks, and each pair of blocks is compared apart.  first: of groups over
+    `few` only the likeliest pair for each two labels, which mostly joins
+    them; without first, such groups alone, and all their pairs.  A pair may
+    come more than once.
     """
     marked = groups.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    mixed = marked.groupBy("gid").agg(F.count("*").alias("m"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("gid", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    mixed = marked.groupBy("gid").agg(F.count("*").alias("m"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
+    mixed = (mixed if first else mixed.where(F.col("m") > few)).select("gid", (F.col("m") > few).alias("many"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     here = marked.join(mixed, "gid").join(classes, "cid")
     here = here.withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    here = here.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "label", "n", "sketch")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    here = here.select(F.when(F.col("blocks") == 1, F.col("gid")).otherwise(F.xxhash64("gid", i, j)).alias("cell"), F.when(i == j, -1).otherwise((F.col("own") == j).cast("int")).alias("side"), "many", "cid", "label", "n", "sketch")
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    most = 500_000  # pairs that a task remembers
+    limit = 2 * block  # rows that are compared at once, or one whole cell
 
-    def cell(t: pa.Table) -> pa.Table:
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        cid, label, n, own = (t[c].to_numpy() for c in ("cid", "label", "n", "own"))
-        if not len(cid) or label.min() == label.max():
-            return schema.empty_table()
-        order = np.argsort(n, kind="stable")
-        words = [t["sketch"][int(k)].as_py() for k in order]
-        cid, label, n, own = cid[order], label[order], n[order], own[order]
-        found = []
-        for k in range(len(cid)):
-            to = int(np.searchsorted(n, n[k] * 5 // 4, "right"))  # larger sets that may link
-            with_ = np.arange(k + 1, to)
-            with_ = with_[(label[with_] != label[k]) & ((i == j) | (own[with_] != own[k]))]
-            if not len(with_):
-                continue
-            x = folded([words[k], *(words[q] for q in with_)])
-            far = np.bitwise_count(x[1:] ^ x[0]).sum(axis=1, dtype=np.int64)
-            ok = 9 * far <= n[with_] + n[k]
-            with_, far = with_[ok], far[ok]
-            if best_only and len(with_):
-                with_ = with_[np.lexsort((far, label[with_]))]
-                with_ = with_[np.append(True, label[with_][1:] != label[with_][:-1])]
-            found += [(min(cid[k], cid[q]), max(cid[k], cid[q])) for q in with_]
-        return pa.Table.from_arrays([pa.array([f[s] for f in found], pa.int64()) for s in (0, 1)], schema=schema)
-
-    return here.groupBy("gid", "i", "j").applyInArrow(cell, "a long, b long").distinct()
-
-
-def jaccard_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            held.append(b)
+            t = pa.Table.from_batches(held).combine_chunks()
+            cell = t["cell"].to_numpy()
+            whole = int(np.searchsorted(cell, cell[-1], "left"))  # the last cell may go on
+            if whole >= limit:
+                yield compare(t.slice(0, whole), seen)
+                held = t.slice(whole).combine_chunks().to_batches()
+        if held:
+            yield compare(pa.Table.from_batches(held).combine_chunks(), seen)
+
+    def compare(t: pa.Table, seen: set[tuple[int, int]]) -> pa.RecordBatch:
+        cid, label, many = t["cid"].to_numpy(), t["label"].to_numpy(), t["many"].to_numpy()
+        found = [np.stack(f) for f in close_pairs(t["cell"].to_numpy(), label, t["n"].to_numpy(), t["side"].to_numpy(), t["sketch"].to_pylist())]
+        x, y, far = np.concatenate([np.empty((3, 0), np.int64), *found], axis=1)
+        keep = ~many[x] if first else np.ones(len(x), bool)
+        if first and not keep.all():
+            one, other = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+            order = np.lexsort((far, other, one, keep))
+            lead = np.ones(len(order), bool)
+            lead[1:] = (one[order][1:] != one[order][:-1]) | (other[order][1:] != other[order][:-1])
+            keep[order[lead]] = True
+        p, q = cid[x[keep]], cid[y[keep]]
+        pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0)
+        new = np.array([x not in seen for x in map(tuple, pairs.tolist())], bool)  # other signatures of this task give them again
+        seen.update(map(tuple, pairs[new].tolist()))
+        if len(seen) > most:
+            seen.clear()
+        return batch(pair, a=pairs[new, 0], b=pairs[new, 1])
+
+    return here.repartition("cell").sortWithinPartitions("cell", "n", "cid").mapInArrow(run, "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, parts: int | None = None, few: int = 16, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs.
 
     Words are runs without white space, A-Z in lower case.  A row's set holds
@@ -343,7 +391,8 @@ def jaccard_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
     Classes that share a PartEnum signature are first compared with the
     smallest of them, sketches before whole sets; links make components.  Then
     every signature whose classes are not all in one component is searched for
-    pairs between components, so that no link is lost, until none is left.
+    pairs between components: first the likeliest of large signatures and all
+    of others, then all that may link in large ones, so that no link is lost.
     """
     parts = parts or fan_out(docs.sparkSession)
     rows = cut(set_rows(docs))
@@ -354,12 +403,13 @@ def jaccard_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
     links = cut(linked(cut(may_link(stars, classes)), docs, leads))
     labels = components(links)
     groups = spread(met.where("members is not null").select("members").distinct())
-    for best_only in (True, True, False):
-        more = cut(missing_pairs(groups, labels, classes, best_only))
-        if more.isEmpty():
-            break
-        links = cut(links.unionByName(linked(more, docs, leads)))
-        labels = components(links)
+    tested = stars
+    for first in (True, False):
+        more = cut(missing_pairs(groups, labels, classes, first, few, block).distinct().join(tested, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            tested = tested.unionByName(more)
+            links = cut(links.unionByName(linked(more, docs, leads)))
+            labels = components(links)
     named = rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "label", "left")
