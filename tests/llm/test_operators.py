@@ -96,7 +96,7 @@ def brute_random(text, base, model, least=16):
 def test_secrets(spark, odd):
     texts = [
         "password=token:abcdefgh", "Password: 'abc' token = \"abcdef\" 😀 api_key=ABCDEF apikey:xyz-._=/+9", "AKIA" + "A" * 15, "AKIA" + "AKIA" * 4 + "x", "aKIA" + "Z" * 30, "é" * 3 + "0123456789abcdef01234567" + "g" + "f" * 23,
-        "an ordinaryidentifierofsomelength and qZ8x2LpW0v9TgR4kY7nB", None, "", "secret == abcdefg", "x" * 50_000 + " token=abcdefg " * 300,
+        "an ordinaryidentifierofsomelength and qZ8x2LpW0v9TgR4kY7nB", None, "", "secret == abcdefg", "x" * 50_000 + " token=abcdefg " * 300, "anidentifierofsomelength " * 60_000, "token=abcdefg " * 256,
     ]
     rows = list(enumerate(texts)) + [(r[0], r[1]) for r in ODD]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit(1)).withColumn("base", F.lit("x"))
@@ -202,10 +202,11 @@ def test_signatures_miss_no_link():
             assert ngram_join.possible(far[0], np.array(len(x)), far[1], np.array(len(y)))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
     r = random.Random(5)
     links = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(40)]
-    got = {x["node"]: x["label"] for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {x["node"]: x["label"] for x in components(spark.createDataFrame(links, "a long, b long"), few).collect()}
     parent = {x: x for e in links for x in e}
     for _ in parent:
         for a, b in links:
@@ -450,8 +451,8 @@ def brute_spans(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("length,gram,segment", [(40, 10, 1 << 22), (30, 30, 64), (25, 7, 50)])
-def test_suffix_dedup(spark, length, gram, segment, monkeypatch):
+@pytest.mark.parametrize("length,gram,segment,crowd", [(40, 10, 1 << 22, 1000), (30, 30, 64, 4), (25, 7, 50, 0)])
+def test_suffix_dedup(spark, length, gram, segment, crowd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
     r = random.Random(6)
     base = "".join(r.choices("abé ", k=300))
@@ -465,7 +466,7 @@ def test_suffix_dedup(spark, length, gram, segment, monkeypatch):
         rows.append((k, r.choice([t, t[a:], t[:a], "aaaa" * r.randrange(60), None, "", t + t[:a]])))
     rows += [(None, base), (None, base), (5, rows[5][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("kept", F.lit(1)).withColumn("key", F.lit("x"))
-    got = suffix_dedup.repeated_spans(df, length, gram)
+    got = suffix_dedup.repeated_spans(df, length, gram, crowd=crowd)
     assert tuples(got.select("doc_id", *suffix_dedup.removal_digest())) == brute_spans(rows, length)
 
 
