@@ -31,6 +31,7 @@ SLICE = 1 << 20
 ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("first", "<u4"), ("last", "<u4"), ("flags", "u1")])
 RANGE = np.dtype([("doc", "<i8"), ("key", "<i8"), ("first", "<u4"), ("last", "<u4")])
 SUFFIX = np.dtype([("a", "<u8"), ("b", "<u8"), ("row", "<u4"), ("at", "<u4"), ("flags", "u1")])
+SINGLE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<u4"), ("asks", "u1")])
 FIRST, BOTH = 1, 2
 
 
@@ -176,7 +177,21 @@ def spans_of(rows: np.ndarray, first: np.ndarray, last: np.ndarray, length: int,
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, parts: int | None = None) -> DataFrame:
+def suffixes_of(bodies: list[bytes], length: int) -> np.ndarray:
+    """All suffixes that start a window in these regions: fingerprints of both halves, body's number and place."""
+    sizes = np.array([len(x) - length + 1 for x in bodies], np.int64)
+    row = np.repeat(np.arange(len(bodies)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = at + (np.cumsum(sizes + length - 1) - sizes - length + 1)[row]
+    sums = prefix_sums(np.frombuffer(b"".join(bodies), np.uint8))
+    s = np.zeros(len(row), SUFFIX)
+    half = length // 2
+    s["a"], s["b"] = fingerprints(sums, place, place + half), fingerprints(sums, place + half, place + length)
+    s["row"], s["at"] = row, at
+    return s
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, parts: int | None = None, crowd: int = 1000) -> DataFrame:
     """doc_id, n_bytes, spans and kept of every row of docs.
 
     spans: the maximal runs of bytes [start, end) of the UTF-8 text that are
@@ -189,16 +204,21 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, parts: i
     Suffixes are dealt by anchor, packed in binary columns; what a map batch
     has met twice is settled there, so that a text with countless copies sends
     about one entry a batch.  Ranges go back to their document by the key of
-    id and text.  The first round's result is written to the shared folder.
+    id and text.  An anchor with over `crowd` different regions does not bring
+    them to one task of the second round: their suffixes are dealt one by one,
+    by their own fingerprints.  The first round's result is written to the
+    shared folder.
     """
     spark = docs.sparkSession
     parts = parts or fan_out(spark)
+    cells = 4 * parts  # of documents: more than tasks, so that tasks get about equal numbers
     if not 0 < gram <= length:
         raise ValueError("gram must be between 1 and length")
     one = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", one.alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
     packed = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
     SETTLED, OPEN, INDEX = 0, 1, 2  # ranges that are repeated; that must be looked at; that only stand for others
+    CROWDED = 2  # more than OPEN and INDEX for those of crowded anchors
 
     def out(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], packed.field(i).type) for i in range(3)], schema=packed)
@@ -223,7 +243,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, parts: i
             same[1:] = (e["a"][1:] == e["a"][:-1]) & (e["b"][1:] == e["b"][:-1])
             yield out([(p, OPEN, x) for p, x in dealt(e[~same], (e["a"][~same] % np.uint64(parts)).astype(np.int64))])
             if same.any():
-                yield out([(p, SETTLED, x) for p, x in dealt(as_ranges(e[same]), e["key"][same] % parts)])
+                yield out([(p, SETTLED, x) for p, x in dealt(as_ranges(e[same]), e["key"][same] % cells)])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = SuffixLevels()
@@ -243,16 +263,18 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, parts: i
         starts = np.flatnonzero(np.append(True, e["a"][1:] != e["a"][:-1]))
         asked = np.repeat(np.logical_or.reduceat(unsure, starts), np.diff(np.append(starts, len(e))))
         leads = np.append(True, (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1]))
-        for kind, which in ((SETTLED, twice), (OPEN, unsure), (INDEX, twice & asked & leads)):
+        index_ = twice & asked & leads
+        many = np.repeat(np.add.reduceat(unsure | index_, starts, dtype=np.int64) > crowd, np.diff(np.append(starts, len(e))))
+        for kind, which in ((SETTLED, twice), (OPEN, unsure & ~many), (INDEX, index_ & ~many), (OPEN + CROWDED, unsure & many), (INDEX + CROWDED, index_ & many)):
             found = e[which]
             if len(found):
-                yield out([(p, kind, x) for p, x in dealt(as_ranges(found) if kind == SETTLED else found, found["key"] % parts)])
+                yield out([(p, kind, x) for p, x in dealt(as_ranges(found) if kind == SETTLED else found, found["key"] % cells)])
 
     plain = "part int, kind tinyint, blob binary"
-    scanned = rows.mapInArrow(first_scan, plain).repartition(parts, "part")
+    scanned = rows.mapInArrow(first_scan, plain).repartitionById(parts, "part")
     round_one = cut(scanned.mapInArrow(index, plain))
-    by_part = rows.withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
-    suffixes = pa.schema([("part", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("first", pa.int64()), ("asks", pa.bool_()), ("body", pa.binary())])
+    by_part = rows.withColumn("part", F.pmod("key", F.lit(cells)).cast("int"))
+    suffixes = pa.schema([("part", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("first", pa.int64()), ("asks", pa.bool_()), ("body", pa.binary()), ("blob", pa.binary())])
 
     def bodies(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         """The text of regions that the second round needs."""
@@ -262,6 +284,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, parts: i
         where = {k: i for i, k in enumerate(zip(mine["doc"].to_pylist(), mine["key"].to_pylist(), strict=True))}
         text = mine["text"]
         got: list[tuple] = []
+        singles: list[np.ndarray] = []
         held: tuple[int, bytes] = (-1, b"")
         for e, kind in wanted:
             e = e[np.lexsort((e["first"], e["key"]))]
@@ -269,39 +292,51 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, parts: i
                 i = where[doc, key]
                 if held[0] != i:
                     held = i, text[i].as_py().encode()
-                got.append((a % parts, doc, key, first, kind == OPEN, held[1][first : last + length]))
+                body = held[1][first : last + length]
+                if kind > CROWDED:
+                    one = np.zeros(last - first + 1, SINGLE)
+                    x = suffixes_of([body], length)
+                    one["a"], one["b"], one["doc"], one["key"], one["at"], one["asks"] = x["a"], x["b"], doc, key, first + x["at"], kind == OPEN + CROWDED
+                    singles.append(one)
+                else:
+                    got.append((a % parts, doc, key, first, kind == OPEN, body, None))
+        if singles:
+            x = np.concatenate(singles)
+            got += [(p, None, None, None, None, None, blob) for p, blob in dealt(x, (x["a"] % np.uint64(parts)).astype(np.int64))]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), suffixes, strict=True)], schema=suffixes)
 
     opened = round_one.where(F.col("kind") != SETTLED)
-    second = by_part.groupBy("part").cogroup(opened.groupBy("part")).applyInArrow(bodies, "part int, doc long, key long, first long, asks boolean, body binary")
+    second = by_part.groupBy("part").cogroup(opened.groupBy("part")).applyInArrow(bodies, "part int, doc long, key long, first long, asks boolean, body binary, blob binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, half = SuffixLevels(), length // 2
+        levels = SuffixLevels()
         doc, key, first, asks, n = [], [], [], [], 0
         for b in batches:
-            body = [x.as_py() for x in b["body"]]
+            regional = b.filter(b["body"].is_valid())
+            body = [x.as_py() for x in regional["body"]]
             for column, to in (("doc", doc), ("key", key), ("first", first), ("asks", asks)):
-                to.append(b[column].to_numpy(zero_copy_only=False))
+                to.append(regional[column].to_numpy(zero_copy_only=False))
             fresh = []
             for i, j in slices([len(x) for x in body], SLICE):
-                sizes = np.array([len(x) - length + 1 for x in body[i:j]])
-                lengths = sizes + length - 1
-                row = np.repeat(np.arange(j - i), sizes)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                place = at + (np.cumsum(lengths) - lengths)[row]
-                sums = prefix_sums(np.frombuffer(b"".join(body[i:j]), np.uint8))
-                s = np.zeros(len(row), SUFFIX)
-                s["a"], s["b"] = fingerprints(sums, place, place + half), fingerprints(sums, place + half, place + length)
-                s["row"], s["at"] = row + n + i, at
+                s = suffixes_of(body[i:j], length)
+                s["row"] += n + i
                 fresh.append(s)
             n += len(body)
+            for blob in b["blob"].drop_null():
+                one = np.frombuffer(blob.as_py(), SINGLE)
+                for column, to in (("doc", doc), ("key", key), ("at", first), ("asks", asks)):
+                    to.append(one[column])
+                s = np.zeros(len(one), SUFFIX)
+                s["a"], s["b"], s["row"] = one["a"], one["b"], n + np.arange(len(one))
+                n += len(one)
+                fresh.append(s)
             if fresh:
                 levels.add(np.concatenate(fresh))
         s = levels.finish()
         if not len(s):
             return
-        doc, key, first, asks = map(np.concatenate, (doc, key, first, asks))
-        s = s[((s["flags"] & BOTH) > 0) & asks[s["row"]]]
+        doc, key, first, asks = (np.concatenate(x) for x in (doc, key, first, asks))
+        s = s[((s["flags"] & BOTH) > 0) & asks.astype(bool)[s["row"]]]
         s = s[np.lexsort((s["at"], s["row"]))]
         if not len(s):
             return
@@ -311,9 +346,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, parts: i
         found = np.empty(len(a), RANGE)
         row = s["row"][a]
         found["doc"], found["key"], found["first"], found["last"] = doc[row], key[row], first[row] + s["at"][a], first[row] + s["at"][z]
-        yield out([(p, SETTLED, x) for p, x in dealt(found, found["key"] % parts)])
+        yield out([(p, SETTLED, x) for p, x in dealt(found, found["key"] % cells)])
 
-    round_two = second.repartition(parts, "part").mapInArrow(search, plain)
+    round_two = second.repartitionById(parts, "part").mapInArrow(search, plain)
     ranges = round_one.where(F.col("kind") == SETTLED).unionByName(round_two)
     result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
