@@ -11,7 +11,7 @@ from weftline.session import table
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
-    c = table(spark, d, "customer").where("c_custkey < 100").select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
     x = table(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), F.pmod(F.col("n_nationkey") + 1, F.lit(5)) + 20).alias("dst"))
     return n.unionByName(c).unionByName(x)
 
