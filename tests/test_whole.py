@@ -26,3 +26,15 @@ GRAPH = ("topology", "graph_nodes", "downstream", "upstream", "leaves", "proxies
 def test_graph_has_every_customer(spark, name):
     got, want = whole(spark, name, " where c_custkey < 100")
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["levels", "compact_graph"])
+def test_paths_have_every_customer(spark, name):
+    got, want = whole(spark, name, " where c_custkey < 60")
+    assert got == want
+
+
+def test_every_customer_is_routed(spark, monkeypatch):
+    monkeypatch.setitem(SQL, "routing", SQL["routing"].replace(" where c_custkey < 100", ""))
+    got, want = whole(spark, "routing", " where c_custkey < 50")
+    assert got == want
