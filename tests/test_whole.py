@@ -38,3 +38,8 @@ def test_every_customer_is_routed(spark, monkeypatch):
     monkeypatch.setitem(SQL, "routing", SQL["routing"].replace(" where c_custkey < 100", ""))
     got, want = whole(spark, "routing", " where c_custkey < 50")
     assert got == want
+
+
+def test_whole_table_is_stacked(spark):
+    got, want = whole(spark, "stack_axis", " where vec_id < 10")
+    assert got == want
