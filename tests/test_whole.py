@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from test_queries import QUERIES, SQL, TABLES_AT, rows
 
-from weftline.session import TABLES
+from weftline.session import TABLES, table
 
 
 def whole(spark, name, cut):
@@ -43,3 +43,30 @@ def test_every_customer_is_routed(spark, monkeypatch):
 def test_whole_table_is_stacked(spark):
     got, want = whole(spark, "stack_axis", " where vec_id < 10")
     assert got == want
+
+
+def folder(spark, at):
+    """Events of sf0.01 as a folder of files, the last days in the first file."""
+    events = table(spark, "/root/testdata/sf0.01", "events").toPandas().sort_values("ts", ascending=False)
+    (at / "events.parquet").mkdir()
+    for i in range(4):
+        part = events.iloc[i * len(events) // 4 : (i + 1) * len(events) // 4]
+        part.astype({"ts": "datetime64[us]"}).to_parquet(at / "events.parquet" / f"part-{i}.parquet", index=False)
+    return events
+
+
+def test_sessions_of_every_user(spark, tmp_path):
+    events = folder(spark, tmp_path)
+    want = []
+    for user, some in events.groupby("user_id")["ts"]:
+        open_ = None
+        for t in sorted(x.value // 1000 for x in some):
+            if open_ and t < open_[1] + 7200 * 10**6:
+                open_ = [open_[0], t, open_[2] + 1]
+                want[-1] = (user, *open_)
+            else:
+                open_ = [t, t, 1]
+                want.append((user, *open_))
+    want = [(u, a // 10**6, (b + 7200 * 10**6) // 10**6, n) for u, a, b, n in want]
+    got = [(r["user_id"], r["start"], r["end"], r["n"]) for r in QUERIES["stream_sessions"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and max(u for u, *_ in got) >= 20

@@ -12,9 +12,13 @@ from weftline.session import table
 from weftline.streaming import stream as s
 
 
-def _stream(spark: SparkSession, d: str) -> DataFrame:
+#: More files than a table has: they come in one step, so that none is late and a whole result is written once.
+ALL = (1 << 31) - 1
+
+
+def _stream(spark: SparkSession, d: str, files: int = 1) -> DataFrame:
     schema = table(spark, d, "events").schema
-    return stream_files(spark, f"{d}/events.parque[t]", schema)  # a pattern, as the table may be one file
+    return stream_files(spark, f"{d}/events.parque[t]", schema, files)  # a pattern, as the table may be one file
 
 
 def stream_filter(spark, d):
@@ -38,7 +42,8 @@ def stream_tumbling(spark, d):
 
 
 def stream_sessions(spark, d):
-    x = s.drain(s.sessions(_stream(spark, d).where("user_id < 20"), "ts", "2 hours", "0 seconds", ["user_id"]))
+    """Sessions of every user, those still open at the end too."""
+    x = s.drain(s.sessions(_stream(spark, d, ALL), "ts", "2 hours", None, ["user_id"]), "complete")
     return x.select(F.unix_seconds("start").alias("start"), F.unix_seconds("end").alias("end"), "user_id", "n")
 
 

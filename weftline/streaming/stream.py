@@ -21,9 +21,17 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that is there by now, as a batch: runs to the end of the available data and reads what was written."""
+    """All that is there by now, as a batch: runs to the end of the available data and reads what was written.
+
+    mode complete: the result after the last step, windows that are still open included.
+    """
     at = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    if mode == "complete":
+        stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{at}/out")
+        q = out.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out")).start()
+    else:
+        q = out.format("parquet").option("path", f"{at}/out").start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -76,8 +84,10 @@ def tumbling_counts(stream: DataFrame, ts: str, width: str, late: str, keys: Seq
     return out.select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 
-def sessions(stream: DataFrame, ts: str, gap: str, late: str, keys: Sequence[str]) -> DataFrame:
-    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
+def sessions(stream: DataFrame, ts: str, gap: str, late: str | None, keys: Sequence[str]) -> DataFrame:
+    """Count by session of each key.  late None: no watermark, so that no row is late; for mode complete."""
+    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp"))
+    timed = timed if late is None else timed.withWatermark("_ts", late)
     return timed.groupBy(F.session_window("_ts", gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
