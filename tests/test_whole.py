@@ -5,6 +5,7 @@ import pytest
 from test_queries import QUERIES, SQL, TABLES_AT, rows
 
 from weftline.session import TABLES, table
+from weftline.sources import logs
 
 
 def whole(spark, name, cut):
@@ -45,6 +46,26 @@ def test_whole_table_is_stacked(spark):
     assert got == want
 
 
+def test_runs_of_every_event(spark, monkeypatch):
+    monkeypatch.setattr("test_whole.TABLES_AT", "/root/testdata/sf0.01")  # 10,000 events
+    got, want = whole(spark, "perf_runs", "event_id < 5000 and ")
+    assert got == want and len(got) == 100
+
+
+@pytest.mark.parametrize("files", [("a",), ("a", "b", None)])
+def test_runs_over_many_ranges(spark, files):
+    lines = [(f, i, '{"env": 1}' if i % 7 == 3 else f'{{"k": {i}}}') for f in files for i in range(200)]
+    df = spark.createDataFrame(lines, "file string, line_no long, value string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        runs = logs.perf_runs(df if len(files) > 1 else df.drop("file"), "k long")
+        got = [((r["file"] if len(files) > 1 else "a"), r["run_idx"], r["k"]) for r in runs.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [(f, max(0, sum(j % 7 == 3 for j in range(i + 1)) - 1), i) for f in files for i in range(200) if i % 7 != 3]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def folder(spark, at):
     """Events of sf0.01 as a folder of files, the last days in the first file."""
     events = table(spark, "/root/testdata/sf0.01", "events").toPandas().sort_values("ts", ascending=False)

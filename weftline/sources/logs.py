@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weftline.functions.codec import START, log_fields, log_line
+from weftline.session import cut
 
 
 def message_log(spark: SparkSession, path: str, schema: str = "string") -> DataFrame:
@@ -28,13 +29,22 @@ def write_log(messages: DataFrame, path: str, ts: str = "ts", obj: str = "obj",
 def perf_runs(lines: DataFrame, entry_schema: str, order_by: str = "line_no") -> DataFrame:
     """Entries (value) with run_idx: each environment line but the first begins the next run.
 
-    One log's lines pass through one task in order; logs (column file) are
-    apart where they are several.
+    Lines are dealt by ranges of their order and counted in each; the counts
+    of the ranges before are added, so no task takes a whole log.  Logs
+    (column file) are apart where they are several.
     """
     keys = ["file"] if "file" in lines.columns else []
     env = F.get_json_object("value", "$.env").isNotNull().cast("int")
-    run = F.greatest(F.sum(env).over(Window.partitionBy(*keys).orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)) - 1, F.lit(0))
-    numbered = lines.withColumn("_env", env).withColumn("run_idx", run).where("_env = 0")
+    dealt = cut(lines.withColumn("_env", env).repartitionByRange(*keys, order_by).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum("_env").alias("_n"))  # a row for each range
+    parts = parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    here = F.sum("_env").over(Window.partitionBy(*keys, "_part").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("_part") == F.col("_of")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    numbered = dealt.withColumn("_here", here).where("_env = 0").join(parts, same)
+    numbered = numbered.withColumn("run_idx", F.greatest(F.col("_before") + F.col("_here") - 1, F.lit(0)))
     return numbered.select(*keys, "run_idx", F.from_json("value", entry_schema).alias("e")).select(*keys, "run_idx", "e.*")
 
 
