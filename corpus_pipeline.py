@@ -47,10 +47,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links of Jaccard similarity 0.8, the one of smallest id; all whose set is empty."""
-    found = ngram_join.jaccard_components(docs)
-    kept = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Of documents joined by links of Jaccard similarity 0.8, the one of smallest id; all whose set is empty.
+
+    Rows equal in id and text stay or go together; drop_copies has left one of each.
+    """
+    kept = ngram_join.survivors(docs)
+    found = docs.withColumn("_digest", ngram_join.text_digest())
+    same = found["doc_id"].eqNullSafe(kept["doc_id"]) & (found["_digest"] == kept["digest"])
+    return found.join(kept, same, "left_semi").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import WHITE, batch, cut, fan_out, fingerprints, mix64, prefix_sums, slices, texts
@@ -154,7 +154,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(ids, counts), values.view(U).ravel()
 
 
-_ROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("sketch", pa.binary())])
+_ROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("sketch", pa.binary()), ("digest", pa.int64())])
 _SENT = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 _MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("members", pa.binary())])
 
@@ -165,18 +165,23 @@ def class_ids(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("digest", text_digest())
+
+
+def text_digest() -> Column:
+    """With doc_id it tells rows apart even where ids repeat or are null."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cid (fingerprint of the set) and sketch of each row."""
+    """doc_id, n, cid (fingerprint of the set), sketch and digest of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(texts(b["text"]))
-            yield batch(_ROW, doc_id=b["doc_id"], n=[len(s) for s in sets], cid=class_ids(sets), sketch=[sketch(s) for s in sets])
+            yield batch(_ROW, doc_id=b["doc_id"], n=[len(s) for s in sets], cid=class_ids(sets), sketch=[sketch(s) for s in sets], digest=b["digest"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, cid long, sketch binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, cid long, sketch binary, digest long")
 
 
 def shared_signatures(docs: DataFrame, parts: int) -> DataFrame:
@@ -229,7 +234,7 @@ def shared_signatures(docs: DataFrame, parts: int) -> DataFrame:
         for i, j in slices([len(x) for x in listed], 1 << 22):
             yield batch(_MET, a=[None] * (j - i), b=[None] * (j - i), members=listed[i:j])
 
-    return _texts(docs).mapInArrow(sign, "part int, blob binary").repartitionById(parts, "part").mapInArrow(meet, "a long, b long, members binary")
+    return _texts(docs).select("text").mapInArrow(sign, "part int, blob binary").repartitionById(parts, "part").mapInArrow(meet, "a long, b long, members binary")
 
 
 def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -256,7 +261,8 @@ def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, docs: DataFrame, leads: DataFrame, numerator: int = 80) -> DataFrame:
     """The pairs of classes (a, b) with 100 * intersection >= numerator * union, by their whole sets.
 
-    leads: cid and doc_id of a row of each class, whose text gives the set.
+    leads: cid and key (doc_id, or the text's digest where all ids are null)
+    of a row of each class, whose text gives the set.
     """
     needed = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     schema = pa.schema([("cid", pa.int64()), ("items", pa.list_(pa.int64()))])
@@ -269,10 +275,10 @@ def linked(pairs: DataFrame, docs: DataFrame, leads: DataFrame, numerator: int =
                 right = [k for k in range(i, j) if cids[k] == own[k]]  # another row may repeat the id
                 yield batch(schema, cid=own[right], items=[sets[k].view(np.int64) for k in right])
 
-    chosen = cut(leads.join(needed, "cid", "left_semi").where("doc_id is not null"))
+    chosen = cut(leads.join(needed, "cid", "left_semi"))
     if chosen.count() <= BROADCAST_ROWS:  # of two numbers each; else Spark's own joins
         chosen = F.broadcast(chosen)
-    items = cut(_texts(docs).join(chosen, "doc_id").select("cid", "text").mapInArrow(run, "cid long, items array<long>").dropDuplicates(["cid"]))
+    items = cut(_texts(docs).withColumn("key", F.coalesce("doc_id", "digest")).join(chosen, "key").select("cid", "text").mapInArrow(run, "cid long, items array<long>").dropDuplicates(["cid"]))
     side = lambda c: items.select(F.col("cid").alias(c), F.col("items").alias(f"i{c}"))
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -394,10 +400,18 @@ def jaccard_components(docs: DataFrame, parts: int | None = None, few: int = 16,
     pairs between components: first the likeliest of large signatures and all
     of others, then all that may link in large ones, so that no link is lost.
     """
+    named = labelled(docs, parts, few, block)
+    least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    out = named.join(least, "label", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def labelled(docs: DataFrame, parts: int | None = None, few: int = 16, block: int = 1024) -> DataFrame:
+    """doc_id, n, digest of the text and label of every row of docs; rows whose n is not 0 are in one component where labels are equal."""
     parts = parts or fan_out(docs.sparkSession)
     rows = cut(set_rows(docs))
-    classes = rows.where("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
-    leads, classes = classes.select("cid", "doc_id"), classes.select("cid", "n", "sketch")
+    classes = rows.where("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.coalesce(F.min("doc_id"), F.min("digest")).alias("key"))
+    leads, classes = classes.select("cid", "key"), classes.select("cid", "n", "sketch")
     met = cut(shared_signatures(docs, parts))
     stars = met.where("members is null").select("a", "b").distinct()
     links = cut(linked(cut(may_link(stars, classes)), docs, leads))
@@ -410,10 +424,15 @@ def jaccard_components(docs: DataFrame, parts: int | None = None, few: int = 16,
             tested = tested.unionByName(more)
             links = cut(links.unionByName(linked(more, docs, leads)))
             labels = components(links)
-    named = rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", "n", "digest", F.coalesce("label", "cid").alias("label"))
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """doc_id and digest of the rows that stay: of each component the first by id, nulls last, then by digest; all whose set is empty."""
+    named = labelled(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("x")
+    kept = named.where("n > 0").groupBy("label").agg(first).select("x.doc_id", "x.digest")
+    return kept.unionByName(named.where("n = 0").select("doc_id", "digest")).distinct()
 
 
 def spread(lists: DataFrame) -> DataFrame:
