@@ -1,6 +1,7 @@
 """Queries whose SQL reads a part of a table, against the whole table."""
 
 import duckdb
+import pandas as pd
 import pytest
 from test_queries import QUERIES, SQL, TABLES_AT, rows
 
@@ -91,3 +92,10 @@ def test_sessions_of_every_user(spark, tmp_path):
     want = [(u, a // 10**6, (b + 7200 * 10**6) // 10**6, n) for u, a, b, n in want]
     got = [(r["user_id"], r["start"], r["end"], r["n"]) for r in QUERIES["stream_sessions"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and max(u for u, *_ in got) >= 20
+
+
+def test_windows_of_files_in_any_order(spark, tmp_path):
+    events = folder(spark, tmp_path)
+    days = events.groupby(events["ts"].dt.floor("D"))["event_id"].count()
+    want = sorted((x.value // 10**9, n) for x, n in days.items() if x + pd.Timedelta(days=1) <= events["ts"].max())
+    assert sorted((r["start"], r["n"]) for r in QUERIES["stream_tumbling"](spark, str(tmp_path)).collect()) == want
