@@ -5,6 +5,8 @@ import pandas as pd
 import pytest
 from test_queries import QUERIES, SQL, TABLES_AT, rows
 
+from weftline.cli import drawn
+from weftline.plans import report
 from weftline.session import TABLES, table
 from weftline.sources import logs
 
@@ -99,3 +101,12 @@ def test_windows_of_files_in_any_order(spark, tmp_path):
     days = events.groupby(events["ts"].dt.floor("D"))["event_id"].count()
     want = sorted((x.value // 10**9, n) for x, n in days.items() if x + pd.Timedelta(days=1) <= events["ts"].max())
     assert sorted((r["start"], r["n"]) for r in QUERIES["stream_tumbling"](spark, str(tmp_path)).collect()) == want
+
+
+def test_reports_and_drawings_leave_nothing_out(spark, monkeypatch):
+    monkeypatch.setattr(report, "MOST_ROWS", 5)
+    edges = spark.range(6).selectExpr("concat('a', id) as src", "concat('b', id) as dst")
+    assert drawn(edges.limit(5)).count("-->") == 5
+    for render in (lambda: drawn(edges), lambda: report.text_table(edges, ["src"], most=5), lambda: report.html_report("x", edges, ["src"], most=5)):
+        with pytest.raises(ValueError, match="more than 5 rows"):
+            render()

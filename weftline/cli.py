@@ -55,7 +55,7 @@ def drawn(edges, kind: str = "mermaid", direction: str = "LR", compact: int = 0,
     if contract:
         edges = topology.contract_proxies(edges)
     edges = topology.compact(edges, compact)
-    text = report.graph_text([(r["src"], r["dst"]) for r in edges.select("src", "dst").distinct().limit(report.MOST_ROWS).collect()], kind, direction)
+    text = report.graph_text([(r["src"], r["dst"]) for r in report.all_rows(edges.select("src", "dst").distinct(), report.MOST_ROWS)], kind, direction)
     return report.drawing_url(text, url) if url else text
 
 

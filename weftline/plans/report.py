@@ -10,15 +10,23 @@ import zlib
 from collections.abc import Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 #: Rows of a rendered report.
 MOST_ROWS = 10_000
 
 
+def all_rows(df: DataFrame, most: int = MOST_ROWS) -> list[Row]:
+    """Every row; more than most are an error, as none is left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return rows
+
+
 def text_table(df: DataFrame, columns: Sequence[str], group: Sequence[str] = (), most: int = MOST_ROWS) -> str:
     """Aligned columns, with a heading for each group."""
-    rows = [r.asDict() for r in df.limit(most).collect()]
+    rows = [r.asDict() for r in all_rows(df, most)]
     shown = [c for c in columns if c not in group]
     cells = [[_cell(r[c]) for c in shown] for r in rows]
     width = [max([len(c), *(len(x[i]) for x in cells)]) for i, c in enumerate(shown)]
@@ -40,7 +48,7 @@ def _cell(x: Any) -> str:
 def html_report(title: str, df: DataFrame, columns: Sequence[str], score: str | None = None, most: int = MOST_ROWS) -> str:
     """A page with a table that can be filtered; the score colours its row."""
     body = []
-    for r in df.limit(most).collect():
+    for r in all_rows(df, most):
         colour = ""
         if score and r[score] is not None and r[score] == r[score]:
             strength = 0.15 + 0.35 * min(1.0, max(0.0, (abs(r[score]) - 10) / 45))
