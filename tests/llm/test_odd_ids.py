@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from test_operators import DOCS, brute_components, families, tuples  # same folder
+from test_ten import DOCS, brute_components, families, tuples  # same folder
 from weftline.llm import ngram_join
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from test_operators import DOCS, ODD, brute_components, brute_copies, brute_exact  # same folder
+from test_ten import DOCS, ODD, brute_components, brute_copies, brute_exact  # same folder
 from weftline.llm import queries
 
 SMALL = "/root/testdata/sf0.001"
