@@ -7,12 +7,13 @@ import re
 import statistics
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, exact_dedup, langid, mixing, ngram_join, quality, queries, secrets, sharding, suffix_dedup, topk
+from weftline.llm import bpe, common, exact_dedup, langid, mixing, ngram_join, quality, queries, secrets, sharding, suffix_dedup, topk
 from weftline.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -478,18 +479,68 @@ def test_suffix_dedup_of_odd_rows(odd, empty):
     assert suffix_dedup.repeated_spans(empty).count() == 0
 
 
-def test_levels():
-    """Marks of suffixes that come in many batches equal those of a count."""
-    r = np.random.default_rng(3)
-    levels, batches = suffix_dedup.SuffixLevels(), []
-    for _ in range(40):
-        b = np.zeros(r.integers(1, 60), suffix_dedup.SUFFIX)
-        b["a"], b["b"] = r.integers(0, 300, len(b)), r.integers(0, 2, len(b))
-        batches.append(b.copy())
-        levels.add(b)
-        sizes = [len(x) for x in levels.levels]
-        assert all(x > 2 * y for x, y in zip(sizes, sizes[1:], strict=False))
-    whole = np.concatenate(batches)
-    one, two = Counter(whole["a"].tolist()), Counter(zip(whole["a"].tolist(), whole["b"].tolist(), strict=True))
-    for s in levels.finish():
-        assert bool(s["flags"] & 1) == (one[int(s["a"])] > 1) and bool(s["flags"] & 2) == (two[int(s["a"]), int(s["b"])] > 1)
+def test_levels(monkeypatch):
+    """Order and marks of suffixes that come in many batches equal those of a plain sort."""
+    monkeypatch.setattr(suffix_dedup, "SORTED", 50)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 16)
+    r = random.Random(3)
+    levels, bodies = suffix_dedup.SuffixLevels(), []
+    for _ in range(30):
+        some = [bytes(r.choices(b"ab\0", k=r.randrange(8, 40))) for _ in range(r.randrange(1, 4))]
+        for batch in suffix_dedup.suffixes_of(some, len(bodies), 8):
+            levels.add(batch)
+            sizes = [len(x) for x in levels.levels]
+            assert all(x > 2 * y for x, y in zip(sizes, sizes[1:], strict=False))
+        bodies += some
+    array = levels.finish()
+    found = [bodies[t >> 24][t & 0xFFFFFF :][:8] for t in array.tag.tolist()]
+    want = Counter(b[p : p + 8] for b in bodies for p in range(len(b) - 7))
+    assert found == sorted(want.elements())
+    assert array.again.tolist() == [want[x] > 1 for x in found]
+
+
+def thue_morse(n, a="a", b="b"):
+    t = [a]
+    while len(t) < n:
+        t += [b if x == a else a for x in t]
+    return "".join(t[:n])
+
+
+def test_structured_strings_have_hashes_of_their_own(spark):
+    """Two complementary Thue-Morse strings, on which polynomials modulo 2^64 collide: as words, and within regions."""
+    x, y = thue_morse(2048), thue_morse(2048, "b", "a")
+    for n in (8, 64, 65, 256, 2048):
+        data = np.frombuffer((x[:n] + y[:n]).encode(), np.uint8)
+        h = common.range_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+        w = common.window_hashes(data, n)
+        assert h[0] != h[1] and w[0] != w[n]
+    got = ngram_join.jaccard_components(spark.createDataFrame([(1, f"start {x[:256]}"), (2, f"start {y[:256]}")], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(1, 1), (2, 2)]
+    r = random.Random(4)
+    noise = lambda: "".join(r.choices("cdefgh", k=170))
+    p, q = noise(), noise()
+    rows = [(k, (p if k % 2 else noise()) + (x if r.random() < 0.5 else y)[:256] + (q if k % 3 else noise())) for k in range(60)]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert tuples(got.select("doc_id", *suffix_dedup.removal_digest())) == brute_spans(rows, 400)
+
+
+@pytest.mark.parametrize("width", [1, 7, 96, 100])
+def test_window_hashes(width):
+    """Equal windows have equal hashes wherever they are; others do not."""
+    r = random.Random(width)
+    t = bytes(r.choices(b"ab", k=300)) * 2
+    h = common.window_hashes(np.frombuffer(t, np.uint8), width)
+    assert len(h) == len(t) - width + 1
+    assert len(set(h.tolist())) == len({t[i : i + width] for i in range(len(h))})
+    assert len({(t[i : i + width], v) for i, v in enumerate(h.tolist())}) == len(set(h.tolist()))
+
+
+@pytest.mark.parametrize("master,set_", [("local[2]", True), ("local", True), ("spark://host:7077", False), ("local-cluster[2,1,512]", False), ("yarn", False)])
+def test_shared_folder_must_be_named_on_a_cluster(master, set_):
+    conf = {}
+    spark = SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__), sparkContext=SimpleNamespace(master=master))
+    if set_:
+        assert common.shared_dir(spark) == conf["spark.checkpoint.dir"]
+    else:
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.shared_dir(spark)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,9 +26,11 @@ def fan_out(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one only where the session names none, as in tests."""
+    """The folder that all executors see, as the session names it; a local one serves a local master only, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -41,6 +44,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """Columns of df other than these, whatever their case."""
+    return [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
@@ -75,39 +99,59 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-#: An odd base of polynomial fingerprints modulo 2^64, and its inverse.
-BASE = 0x8B72E5D9F6A3C4E1
-INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, U64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 1 << 23:
-            _powers[base] = have
-    return have[:n]
-
-
+#: Keys of the hashes: fixed odd words, the same in every run.
+K1, K2, K3 = U64(0x8B72E5D9F6A3C4E1), U64(0xC2B2AE3D27D4EB4F), U64(0xA24BAED4963EE407)
 #: A random 64-bit word for each byte value.
-BYTE_WORDS = mix64(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
-
-
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] = sum of word(byte t) * BASE^t over i <= t < j."""
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_WORDS[data] * powers(BASE, len(data)), out=out[1:])
-    return out
-
-
-def fingerprints(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Of data[start:end] for each pair, wherever it stands; mixed, so all bits serve."""
-    return mix64((sums[end] - sums[start]) * powers(INVERSE, len(sums))[start])
+BYTE_WORDS = mix64(np.arange(1, 257, dtype=U64) * K3)
+
+
+def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair (x, y).  Shifts and products alternate, so no string's structure passes through."""
+    z = x >> U64(31)
+    z ^= x
+    z *= K1
+    z += y * K2
+    z ^= z >> U64(29)
+    z *= K3
+    z ^= z >> U64(32)
+    return z
+
+
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of data[i : i + width] for each i: windows of doubled width from both halves, then those that add up to width."""
+    h, size, whole, done = BYTE_WORDS[data], 1, None, 0
+    while True:
+        if width & size:
+            if whole is None:
+                whole, done = h, size
+            else:
+                n = max(0, len(data) - done - size + 1)
+                whole, done = joined(whole[:n], h[done : done + n]), done + size
+        if done == width:
+            return whole
+        n = max(0, len(h) - size)
+        h, size = joined(h[:n], h[size : size + n]), 2 * size
+
+
+#: Longer ranges are hashed one by one.
+LONG = 64
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of data[start:end] for each pair, eight bytes a step; of long ranges by BLAKE2b."""
+    sizes = end - start
+    h = mix64(sizes.astype(U64) * K3)
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+    live = np.flatnonzero(sizes <= LONG)
+    for at in range(0, LONG, 8):
+        live = live[sizes[live] > at]
+        if not len(live):
+            break
+        h[live] = joined(h[live], eight[start[live] + at] & masks[np.minimum(sizes[live] - at, 8)])
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def id_remainder(column: str, mod: int):

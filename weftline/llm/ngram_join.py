@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WHITE, batch, cut, fan_out, fingerprints, mix64, prefix_sums, slices, texts
+from weftline.llm.common import WHITE, batch, cut, fan_out, joined, mix64, range_hashes, slices, texts
 from weftline.llm.components import components
 
 U = np.uint64
@@ -24,30 +25,33 @@ _SPACE[list(WHITE)] = True
 _STEP = U(0xC2B2AE3D27D4EB4F)
 
 
-def shingle_sets(docs: list[bytes]) -> list[np.ndarray]:
-    """The set of each document, as sorted fingerprints of its shingles."""
-    out: list[np.ndarray] = []
+def shingles(docs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]:
+    """For each document its shingles' hashes, and their first and last byte in the text that comes last."""
     for i, j in slices([len(d) for d in docs], SLICE):
         some = [d.lower() for d in docs[i:j]]
-        data = np.frombuffer(b" ".join(some) + b" ", np.uint8)
+        whole = b" ".join(some) + b" "
+        data = np.frombuffer(whole, np.uint8)
         solid = ~_SPACE[data]
         edges = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]])))
         start, end = edges[::2], edges[1::2]
-        words = fingerprints(prefix_sums(data), start, end)
+        words = range_hashes(data, start, end)
         limits = np.searchsorted(start, np.cumsum([0] + [len(d) + 1 for d in some]))
-        rolled = np.zeros(max(0, len(words) - WORDS + 1), U)
+        rolled = np.full(max(0, len(words) - WORDS + 1), WORDS, U)
         for t in range(WORDS):
-            rolled = rolled * _STEP + words[t : t + len(rolled)]
-        rolled = mix64(rolled)
+            rolled = joined(rolled, words[t : t + len(rolled)])
         for a, b in zip(limits[:-1], limits[1:], strict=True):
             if b - a >= WORDS:
-                out.append(np.unique(rolled[a : b - WORDS + 1]))
+                yield rolled[a : b - WORDS + 1], start[a : b - WORDS + 1], end[a + WORDS - 1 : b], whole
             else:
                 h = np.full(min(1, b - a), b - a, U)
                 for w in range(a, b):
-                    h = h * _STEP + words[w : w + 1]
-                out.append(mix64(h))
-    return out
+                    h = joined(h, words[w : w + 1])
+                yield h, start[a : a + len(h)], end[b - len(h) : b], whole
+
+
+def shingle_sets(docs: list[bytes]) -> list[np.ndarray]:
+    """The set of each document, as sorted hashes of its shingles."""
+    return [np.unique(s[0]) for s in shingles(docs)]
 
 
 def bands(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,14 +158,26 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(ids, counts), values.view(U).ravel()
 
 
-_ROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("sketch", pa.binary()), ("digest", pa.int64())])
+_ROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("second", pa.int64()), ("sketch", pa.binary()), ("digest", pa.int64())])
 _SENT = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
-_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("members", pa.binary())])
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gid", pa.int64())])
 
 
-def class_ids(sets: list[np.ndarray]) -> np.ndarray:
-    """Fingerprints of whole sets."""
-    return np.array([int(mix64(np.array([mix64(s ^ _STEP).sum(dtype=U) + U(len(s))], U))[0]) for s in sets], U).view(np.int64)
+#: Bits of a class id; fewer of them make different sets share one.
+ID_BITS = U((1 << 64) - 1)
+
+
+def class_ids(sets: list[np.ndarray], clashes: tuple[int, ...] = ()) -> np.ndarray:
+    """Two hashes of each whole set: rows of (id, second hash).  A set whose id is among the clashes has one from both hashes instead."""
+    out = np.zeros((len(sets), 2), np.int64)
+    for i, s in enumerate(sets):
+        sums = [mix64(s ^ k).sum(dtype=U) + U(len(s)) for k in (_STEP, mix64(np.array([_STEP]))[0])]
+        one, two = mix64(np.array(sums, U))
+        one &= ID_BITS
+        if clashes and int(one.view(np.int64)) in clashes:
+            one = joined(np.array([one]), np.array([two]))[0]
+        out[i] = one.view(np.int64), two.view(np.int64)
+    return out
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -173,19 +189,20 @@ def text_digest() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def set_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cid (fingerprint of the set), sketch and digest of each row."""
+def set_rows(docs: DataFrame, clashes: tuple[int, ...] = ()) -> DataFrame:
+    """doc_id, n, cid and second (hashes of the set), sketch and digest of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(texts(b["text"]))
-            yield batch(_ROW, doc_id=b["doc_id"], n=[len(s) for s in sets], cid=class_ids(sets), sketch=[sketch(s) for s in sets], digest=b["digest"])
+            ids = class_ids(sets, clashes)
+            yield batch(_ROW, doc_id=b["doc_id"], n=[len(s) for s in sets], cid=ids[:, 0], second=ids[:, 1], sketch=[sketch(s) for s in sets], digest=b["digest"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, cid long, sketch binary, digest long")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, cid long, second long, sketch binary, digest long")
 
 
-def shared_signatures(docs: DataFrame, parts: int) -> DataFrame:
-    """Pairs (a, b) of the smallest class of each signature and another one, and lists of 3 classes and more that share one.
+def shared_signatures(docs: DataFrame, parts: int, clashes: tuple[int, ...] = ()) -> DataFrame:
+    """Pairs (a, b) of the smallest class of each signature and another one; and members (gid, a) of groups of 3 classes and more that share one.
 
     Signatures travel packed, one binary row for each map batch and part.
     """
@@ -193,7 +210,7 @@ def shared_signatures(docs: DataFrame, parts: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(texts(b["text"]))
-            cids = class_ids(sets)
+            cids = class_ids(sets, clashes)[:, 0]
             _, once = np.unique(cids, return_index=True)  # copies sign once a batch
             sets, cids = [sets[i] for i in once], cids[once]
             for i, j in slices([8 * len(s) for s in sets], 8 << 19):
@@ -203,6 +220,12 @@ def shared_signatures(docs: DataFrame, parts: int) -> DataFrame:
                 there, first = np.unique(to[order], return_index=True)
                 yield batch(_SENT, part=there.astype(np.int32), blob=[pack(cids[i:j][row[o]], value[o]) for o in np.split(order, first[1:])] if len(there) else [])
 
+    def rows(**columns) -> Iterator[pa.RecordBatch]:
+        n = next(len(c) for c in columns.values())
+        for i in range(0, n, 1 << 16):
+            m = min(n, i + (1 << 16)) - i
+            yield batch(_MET, **{f.name: columns[f.name][i : i + m] if f.name in columns else [None] * m for f in _MET})
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [unpack(x.as_py()) for b in batches for x in b["blob"]]
         if not got:
@@ -226,15 +249,15 @@ def shared_signatures(docs: DataFrame, parts: int) -> DataFrame:
         rest[starts] = False
         pairs = np.unique(np.stack([hub[rest], cid[rest]], axis=1), axis=0) if rest.any() else np.empty((0, 2), np.int64)
         if len(pairs):
-            yield batch(_MET, a=pairs[:, 0], b=pairs[:, 1], members=[None] * len(pairs))
-        seen: set[bytes] = set()
+            yield from rows(a=pairs[:, 0], b=pairs[:, 1])
+        listed: dict[int, slice] = {}  # a group is known by its members, as many signatures share the same
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            seen.add(cid[s : s + n].tobytes())
-        listed = list(seen)
-        for i, j in slices([len(x) for x in listed], 1 << 22):
-            yield batch(_MET, a=[None] * (j - i), b=[None] * (j - i), members=listed[i:j])
+            listed.setdefault(int.from_bytes(hashlib.blake2b(cid[s : s + n].tobytes(), digest_size=8).digest(), "little", signed=True), slice(s, s + n))
+        for some in range(0, len(listed), 1024):
+            groups = list(listed.items())[some : some + 1024]
+            yield from rows(a=np.concatenate([cid[where] for _, where in groups]), gid=np.concatenate([np.full(where.stop - where.start, g) for g, where in groups]))
 
-    return _texts(docs).select("text").mapInArrow(sign, "part int, blob binary").repartitionById(parts, "part").mapInArrow(meet, "a long, b long, members binary")
+    return _texts(docs).select("text").mapInArrow(sign, "part int, blob binary").repartitionById(parts, "part").mapInArrow(meet, "a long, b long, gid long")
 
 
 def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -258,38 +281,47 @@ def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(near).mapInArrow(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, leads: DataFrame, numerator: int = 80) -> DataFrame:
-    """The pairs of classes (a, b) with 100 * intersection >= numerator * union, by their whole sets.
+def common(x: bytes, y: bytes) -> tuple[int, int]:
+    """Sizes of the intersection and the union of two texts' sets.  Shingles with equal hashes count as common if their words are equal."""
+    (one, a0, a1, s), (two, b0, b1, t) = (next(shingles([d])) for d in (x, y))
+    one, at = np.unique(one, return_index=True)
+    two, to = np.unique(two, return_index=True)
+    _, i, j = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+    i, j = at[i], to[j]
+    same = sum(s[a:b] == t[c:d] for a, b, c, d in zip(a0[i].tolist(), a1[i].tolist(), b0[j].tolist(), b1[j].tolist(), strict=True))
+    return same, len(one) + len(two) - same
+
+
+def linked(pairs: DataFrame, docs: DataFrame, leads: DataFrame, clashes: tuple[int, ...] = (), numerator: int = 80) -> DataFrame:
+    """The pairs of classes (a, b) with 100 * intersection >= numerator * union, by the words of their whole sets.
 
     leads: cid and key (doc_id, or the text's digest where all ids are null)
     of a row of each class, whose text gives the set.
     """
     needed = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    schema = pa.schema([("cid", pa.int64()), ("items", pa.list_(pa.int64()))])
+    schema = pa.schema([("cid", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = shingle_sets(texts(b["text"]))
-            cids, own = class_ids(sets), b["cid"].to_numpy()
-            for i, j in slices([8 * len(s) for s in sets], 1 << 22):
-                right = [k for k in range(i, j) if cids[k] == own[k]]  # another row may repeat the id
-                yield batch(schema, cid=own[right], items=[sets[k].view(np.int64) for k in right])
+            read = texts(b["text"])
+            ids, own = class_ids(shingle_sets(read), clashes)[:, 0], b["cid"].to_numpy()
+            right = [k for k in range(len(own)) if ids[k] == own[k]]  # another row may repeat the id
+            for i, j in slices([len(read[k]) for k in right], 1 << 22):
+                yield batch(schema, cid=own[right[i:j]], words=[b" ".join(read[k].lower().split()) for k in right[i:j]])
 
     chosen = cut(leads.join(needed, "cid", "left_semi"))
     if chosen.count() <= BROADCAST_ROWS:  # of two numbers each; else Spark's own joins
         chosen = F.broadcast(chosen)
-    items = cut(_texts(docs).withColumn("key", F.coalesce("doc_id", "digest")).join(chosen, "key").select("cid", "text").mapInArrow(run, "cid long, items array<long>").dropDuplicates(["cid"]))
-    side = lambda c: items.select(F.col("cid").alias(c), F.col("items").alias(f"i{c}"))
+    read = cut(_texts(docs).withColumn("key", F.coalesce("doc_id", "digest")).join(chosen, "key").select("cid", "text").mapInArrow(run, "cid long, words binary").dropDuplicates(["cid"]))
+    side = lambda c: read.select(F.col("cid").alias(c), F.col("words").alias(f"w{c}"))
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
-                x, y = b["ia"][i].values.to_numpy(), b["ib"][i].values.to_numpy()
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                ok[i] = 100 * common >= numerator * (len(both) - common)
+                both, whole = common(b["wa"][i].as_py(), b["wb"][i].as_py())
+                ok[i] = 100 * both >= numerator * whole
             yield batch(pair, a=b["a"].to_numpy()[ok], b=b["b"].to_numpy()[ok])
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
@@ -391,58 +423,61 @@ def jaccard_components(docs: DataFrame, parts: int | None = None, few: int = 16,
     with nothing.  Rows link when 100 * intersection >= 80 * union.
     component_id is the smallest doc_id that links reach; for a row with an
     empty set its own.  Rows with a null id take part and come last in order.
+    Whole texts count, however long; an empty table gives an empty result.
     Rows with equal sets are one class, so copies are never paired; a class is
-    known by a 64-bit fingerprint, as shingles are.  Other columns play no part.
+    known by two 64-bit hashes of its set.  Other columns play no part.
 
     Classes that share a PartEnum signature are first compared with the
-    smallest of them, sketches before whole sets; links make components.  Then
-    every signature whose classes are not all in one component is searched for
-    pairs between components: first the likeliest of large signatures and all
-    of others, then all that may link in large ones, so that no link is lost.
+    smallest of them, sketches before whole sets, by their words; links make
+    components.  Then every signature whose classes are not all in one
+    component is searched for pairs between components: first the likeliest of
+    large signatures and all of others, then all that may link in large ones,
+    so that no link is lost.
     """
-    named = labelled(docs, parts, few, block)
-    least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "label", "left")
+    rows, heads = labelled(docs, parts, few, block)
+    out = rows.join(heads.select("cid", "least"), "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def labelled(docs: DataFrame, parts: int | None = None, few: int = 16, block: int = 1024) -> DataFrame:
-    """doc_id, n, digest of the text and label of every row of docs; rows whose n is not 0 are in one component where labels are equal."""
+def labelled(docs: DataFrame, parts: int | None = None, few: int = 16, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, cid, digest) of docs; and of each class that is not empty (cid) the first row of its component: none (whether its id is null), least (its id) and digest.
+
+    Components are reduced to their first row at the level of classes, so no
+    row travels by its component; a class has one line to join its rows with.
+    """
     parts = parts or fan_out(docs.sparkSession)
-    rows = cut(set_rows(docs))
-    classes = rows.where("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.coalesce(F.min("doc_id"), F.min("digest")).alias("key"))
-    leads, classes = classes.select("cid", "key"), classes.select("cid", "n", "sketch")
-    met = cut(shared_signatures(docs, parts))
-    stars = met.where("members is null").select("a", "b").distinct()
-    links = cut(linked(cut(may_link(stars, classes)), docs, leads))
+    clashes: tuple[int, ...] = ()
+    while True:
+        rows = cut(set_rows(docs, clashes))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("least"), "digest")).alias("first")
+        classes = cut(rows.where("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), first, (F.min("second") != F.max("second")).alias("clash")))
+        more = [r["cid"] for r in classes.where("clash").select("cid").collect()]  # ids that different sets happen to share, a handful in 10^10 sets
+        if not more:
+            break
+        clashes += tuple(more)
+    leads = classes.select("cid", F.coalesce("first.least", "first.digest").alias("key"))
+    sketches = classes.select("cid", "n", "sketch")
+    met = cut(shared_signatures(docs, parts, clashes))
+    stars = met.where("gid is null").select("a", "b").distinct()
+    links = cut(linked(cut(may_link(stars, sketches)), docs, leads, clashes))
     labels = components(links)
-    groups = spread(met.where("members is not null").select("members").distinct())
+    groups = cut(met.where("gid is not null").select("gid", F.col("a").alias("cid")).distinct())
     tested = stars
-    for first in (True, False):
-        more = cut(missing_pairs(groups, labels, classes, first, few, block).distinct().join(tested, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            tested = tested.unionByName(more)
-            links = cut(links.unionByName(linked(more, docs, leads)))
+    for once in (True, False):
+        more_pairs = cut(missing_pairs(groups, labels, sketches, once, few, block).distinct().join(tested, ["a", "b"], "left_anti"))
+        if not more_pairs.isEmpty():
+            tested = tested.unionByName(more_pairs)
+            links = cut(links.unionByName(linked(more_pairs, docs, leads, clashes)))
             labels = components(links)
-    return rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", "n", "digest", F.coalesce("label", "cid").alias("label"))
+    named = cut(labels.withColumnRenamed("node", "cid").join(classes.select("cid", "first"), "cid"))
+    least = named.groupBy("label").agg(F.min("first").alias("least"))
+    joined_ = cut(named.select("cid", "label").join(least, "label").select("cid", "least"))
+    heads = classes.select("cid", "first").join(joined_, "cid", "left").select("cid", F.coalesce("least", "first").alias("x")).select("cid", "x.none", "x.least", "x.digest")
+    return rows.select("doc_id", "n", "cid", "digest"), cut(heads)
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """doc_id and digest of the rows that stay: of each component the first by id, nulls last, then by digest; all whose set is empty."""
-    named = labelled(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("x")
-    kept = named.where("n > 0").groupBy("label").agg(first).select("x.doc_id", "x.digest")
-    return kept.unionByName(named.where("n = 0").select("doc_id", "digest")).distinct()
-
-
-def spread(lists: DataFrame) -> DataFrame:
-    """gid and cid for each member of packed lists."""
-    schema = pa.schema([("gid", pa.int64()), ("cid", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for g, m in zip(b["gid"].to_pylist(), b["members"].to_pylist(), strict=True):
-                ids = np.frombuffer(m, np.int64)
-                yield batch(schema, gid=np.full(len(ids), g), cid=ids)
-
-    return cut(lists.withColumn("gid", F.xxhash64("members")).mapInArrow(run, "gid long, cid long"))
+    rows, heads = labelled(docs)
+    kept = heads.select(F.col("least").alias("doc_id"), "digest").distinct()
+    return kept.unionByName(rows.where("n = 0").select("doc_id", "digest"))

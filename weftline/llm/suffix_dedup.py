@@ -3,106 +3,142 @@
 Two suffixes that share `length` bytes share, at the same place, the smallest
 gram of those bytes.  So the windows of `length` bytes of a document fall into
 regions of neighbours with one smallest gram (its anchor), and equal windows
-lie in regions with equal anchors.  Suffixes meet by their anchor.  They are
-ordered by fingerprints of successive blocks instead of single bytes, an order
-that is the same in every batch and needs no text of other tasks; a common
-prefix of blocks is a common prefix of suffixes.
-
-Two rounds use the same index.  The first holds one suffix for each region: a
-region that occurs twice is repeated as a whole.  Where only the anchor occurs
-twice, the second round holds all suffixes that start in the region.
+lie in regions with equal anchors.  Suffixes meet by their anchor's hash.
+
+First, regions whose anchor is nowhere else go, as nothing in them repeats;
+and equal regions, known by a 128-bit BLAKE2b digest of all their bytes, become
+one that is known to repeat.  Then the suffixes of what is left are indexed:
+each batch gets a suffix array in byte order, is scanned against the arrays
+before it, and arrays of about equal size merge.  All its comparisons are of
+bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import BASE, INVERSE, cut, fan_out, fingerprints, mix64, powers, prefix_sums, slices, texts
+from weftline.llm.common import cut, fan_out, slices, texts, window_hashes
 
 #: A longer text is scanned in segments of so many windows.
 SEGMENT = 1 << 22
-SLICE = 1 << 20
-#: Entries of a suffix of the first round, and a range of window starts with the document it is in.
-ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("first", "<u4"), ("last", "<u4"), ("flags", "u1")])
+SLICE = 1 << 18
+#: Suffixes that are sorted at once, and suffixes whose first bytes are laid out side by side to be compared.
+SORTED = 1 << 16
+BLOCK = 1 << 14
+#: Bytes of text for each part of an exchange, where that gives more parts than Spark's setting.
+PART_BYTES = 64 << 20
+#: A region: hash of its anchor, digest, document, first and last window.  A range of window starts.  A window that is dealt by its own digest.
+ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("first", "<u4"), ("last", "<u4")])
 RANGE = np.dtype([("doc", "<i8"), ("key", "<i8"), ("first", "<u4"), ("last", "<u4")])
-SUFFIX = np.dtype([("a", "<u8"), ("b", "<u8"), ("row", "<u4"), ("at", "<u4"), ("flags", "u1")])
 SINGLE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<u4"), ("asks", "u1")])
-FIRST, BOTH = 1, 2
 
 
-def bound(level: np.ndarray, lo: np.ndarray, hi: np.ndarray, b: np.ndarray, right: bool) -> np.ndarray:
-    """Within [lo, hi) of equal first blocks, where b stands among the second blocks."""
-    lo, hi = lo.copy(), hi.copy()
-    while (open_ := np.flatnonzero(lo < hi)).size:
-        mid = (lo[open_] + hi[open_]) // 2
-        at = level["b"][mid]
-        up = at <= b[open_] if right else at < b[open_]
-        lo[open_[up]] = mid[up] + 1
-        hi[open_[~up]] = mid[~up]
-    return lo
+def digests(data: bytes, start: list[int], end: list[int]) -> np.ndarray:
+    """128-bit digests of data[s:e], as rows of two words."""
+    whole = b"".join([hashlib.blake2b(data[s:e], digest_size=16).digest() for s, e in zip(start, end, strict=True)])
+    return np.frombuffer(whole, "<u8").reshape(-1, 2)
+
+
+class SuffixArray:
+    """Places in a text in the byte order of the `length` bytes from there, and which of those occur again."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, tag: np.ndarray, again: np.ndarray, length: int) -> None:
+        self.data, self.at, self.tag, self.again, self.length = data, at, tag, again, length
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    @classmethod
+    def of(cls, data: np.ndarray, at: np.ndarray, tag: np.ndarray, length: int) -> SuffixArray:
+        out = cls(data, at, tag, np.zeros(len(at), bool), length)
+        keys = out.keys(0, len(at))
+        order = np.argsort(keys, kind="stable")
+        keys, out.at, out.tag = keys[order], at[order], tag[order]
+        same = keys[1:] == keys[:-1]
+        out.again[1:] |= same
+        out.again[:-1] |= same
+        return out
+
+    def keys(self, i: int, j: int) -> np.ndarray:
+        """The first `length` bytes of the suffixes from i to j, laid out; fixed-width strings compare as bytes."""
+        view = np.lib.stride_tricks.sliding_window_view(self.data, self.length)
+        return view[self.at[i:j]].view(f"S{self.length}").ravel()
+
+    def place(self, key: np.ndarray, right: bool) -> int:
+        """Number of suffixes below key, or with right up to key."""
+        lo, hi = 0, len(self)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            own = self.keys(mid, mid + 1)[0]
+            if own < key or right and own == key:
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo
+
+    def places(self, other: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix of other how many of these are below it, and how many are up to it: both arrays are passed in order, in blocks."""
+        left, right = np.zeros(len(other), np.int64), np.zeros(len(other), np.int64)
+        for i in range(0, len(other), BLOCK):
+            theirs = other.keys(i, min(i + BLOCK, len(other)))
+            here = slice(i, i + len(theirs))
+            lo, hi = self.place(theirs[0], False), self.place(theirs[-1], True)
+            left[here] = right[here] = lo
+            for j in range(lo, hi, BLOCK):
+                own = self.keys(j, min(j + BLOCK, hi))
+                a, z = int(np.searchsorted(theirs, own[0], "left")), int(np.searchsorted(theirs, own[-1], "right"))
+                for to, side in ((left, "left"), (right, "right")):
+                    to[i + a : i + z] += np.searchsorted(own, theirs[a:z], side)
+                    to[i + z : i + len(theirs)] += len(own)
+        return left, right
 
 
 class SuffixLevels:
     """Suffix arrays of geometrically growing size.
 
-    add() orders the suffixes of a new batch, scans them against each level
-    for common blocks, marks both sides, and merges levels of about equal
-    size: each suffix is merged a logarithmic number of times.
+    add() sorts the suffixes of a new batch, scans them against each level for
+    long matches, marks both sides, and merges levels of about equal size: each
+    suffix is merged a logarithmic number of times.
     """
 
     def __init__(self) -> None:
-        self.levels: list[np.ndarray] = []
+        self.levels: list[SuffixArray] = []
 
-    def add(self, batch: np.ndarray) -> None:
-        batch = self._ordered(batch)
+    def add(self, batch: SuffixArray) -> None:
         for level in self.levels:
-            self._scan(batch, level)
+            left, right = level.places(batch)
+            hit = left < right
+            batch.again |= hit
+            change = np.zeros(len(level) + 1, np.int64)
+            np.add.at(change, left[hit], 1)
+            np.add.at(change, right[hit], -1)
+            level.again |= np.cumsum(change[:-1]) > 0
         self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
             self._merge()
 
-    def finish(self) -> np.ndarray:
+    def finish(self) -> SuffixArray | None:
         """All suffixes in order, with their marks."""
         while len(self.levels) > 1:
             self._merge()
-        return self.levels[0] if self.levels else np.empty(0, ENTRY)
+        return self.levels[0] if self.levels else None
 
     def _merge(self) -> None:
         y, x = self.levels.pop(), self.levels.pop()
-        both = np.concatenate([x, y])
-        self.levels.append(both[np.lexsort((both["b"], both["a"]))])
-
-    @staticmethod
-    def _ordered(batch: np.ndarray) -> np.ndarray:
-        batch = batch[np.lexsort((batch["b"], batch["a"]))]
-        one = batch["a"][1:] == batch["a"][:-1]
-        two = one & (batch["b"][1:] == batch["b"][:-1])
-        mark = one * np.uint8(FIRST) | two * np.uint8(BOTH)
-        batch["flags"][1:] |= mark
-        batch["flags"][:-1] |= mark
-        return batch
-
-    @staticmethod
-    def _scan(batch: np.ndarray, level: np.ndarray) -> None:
-        keys = np.ascontiguousarray(level["a"])
-        lo, hi = np.searchsorted(keys, batch["a"], "left"), np.searchsorted(keys, batch["a"], "right")
-        hit = np.flatnonzero(lo < hi)
-        SuffixLevels._mark(batch, level, hit, lo[hit], hi[hit], FIRST)
-        b = batch["b"][hit]
-        SuffixLevels._mark(batch, level, hit, bound(level, lo[hit], hi[hit], b, False), bound(level, lo[hit], hi[hit], b, True), BOTH)
-
-    @staticmethod
-    def _mark(batch: np.ndarray, level: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, flag: int) -> None:
-        batch["flags"][at[lo < hi]] |= np.uint8(flag)
-        change = np.zeros(len(level) + 1, np.int64)
-        np.add.at(change, lo, 1)
-        np.add.at(change, hi, -1)
-        level["flags"][np.cumsum(change[:-1]) > 0] |= np.uint8(flag)
+        of_y = x.places(y)[1] + np.arange(len(y))
+        of_x = np.ones(len(x) + len(y), bool)
+        of_x[of_y] = False
+        merged = SuffixArray(np.concatenate([x.data, y.data]), *(np.empty(len(of_x), k.dtype) for k in (x.at, x.tag, x.again)), x.length)
+        for to, own, more in ((merged.at, x.at, y.at + len(x.data)), (merged.tag, x.tag, y.tag), (merged.again, x.again, y.again)):
+            to[of_x], to[of_y] = own, more
+        self.levels.append(merged)
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -117,30 +153,28 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def regions(pieces: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """piece, first and last window start (within the piece), anchor's fingerprint and the region's, for each region."""
+    """piece, first and last window start (within the piece), anchor's hash and the region's digest, for each region."""
     sizes = np.array([len(p) for p in pieces], np.int64)
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    empty = np.empty(0, np.int64)
-    if len(data) < length:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+    whole = b"".join(pieces)
+    data = np.frombuffer(whole, np.uint8)
+    counts = np.maximum(0, sizes - length + 1)
+    if not counts.sum():
+        empty = np.empty(0, np.int64)
+        return empty, empty, empty, empty.astype(np.uint64), np.empty((0, 2), np.uint64)
     starts = np.cumsum(sizes) - sizes
-    sums = prefix_sums(data)
-    grams = mix64((sums[gram:] - sums[:-gram]) * powers(INVERSE, len(sums))[: len(sums) - gram])
+    grams = window_hashes(data, gram)
     low = np.uint64((1 << 24) - 1)  # places in a slice fit, as SEGMENT and SLICE are smaller
     smallest = sliding_minimum((grams & ~low) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
-    starts_of = np.repeat(np.arange(len(pieces)), np.maximum(0, sizes - length + 1))
-    windows = np.arange(len(starts_of)) - np.repeat(np.cumsum(np.maximum(0, sizes - length + 1)) - np.maximum(0, sizes - length + 1), np.maximum(0, sizes - length + 1)) + starts[starts_of]
-    if not len(windows):
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+    of = np.repeat(np.arange(len(pieces)), counts)
+    windows = np.arange(len(of)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
     anchor = (smallest[windows] & low).astype(np.int64)
     new = np.ones(len(windows), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (starts_of[1:] != starts_of[:-1])
+    new[1:] = (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(windows)) - 1
-    a, p0, p1 = anchor[first], windows[first], windows[last]
-    whole = mix64(fingerprints(sums, p0, p1 + length) + (a - p0).astype(np.uint64) * np.uint64(BASE))
-    piece = starts_of[first]
-    return piece, p0 - starts[piece], p1 - starts[piece], grams[a], whole
+    p0, p1 = windows[first], windows[last]
+    piece = of[first]
+    return piece, p0 - starts[piece], p1 - starts[piece], grams[anchor[first]], digests(whole, p0.tolist(), (p1 + length).tolist())
 
 
 def dealt(entries: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -177,45 +211,48 @@ def spans_of(rows: np.ndarray, first: np.ndarray, last: np.ndarray, length: int,
     return out
 
 
-def suffixes_of(bodies: list[bytes], length: int) -> np.ndarray:
-    """All suffixes that start a window in these regions: fingerprints of both halves, body's number and place."""
-    sizes = np.array([len(x) - length + 1 for x in bodies], np.int64)
-    row = np.repeat(np.arange(len(bodies)), sizes)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = at + (np.cumsum(sizes + length - 1) - sizes - length + 1)[row]
-    sums = prefix_sums(np.frombuffer(b"".join(bodies), np.uint8))
-    s = np.zeros(len(row), SUFFIX)
-    half = length // 2
-    s["a"], s["b"] = fingerprints(sums, place, place + half), fingerprints(sums, place + half, place + length)
-    s["row"], s["at"] = row, at
-    return s
+def suffixes_of(bodies: list[bytes], first_tag: int, length: int) -> Iterator[SuffixArray]:
+    """Sorted batches of the suffixes that start a window in these regions; tag: the body's number and the place in it."""
+    for i, j in slices([len(x) - length + 1 for x in bodies], SORTED):
+        data = np.frombuffer(b"".join(bodies[i:j]), np.uint8)
+        ends = np.cumsum([len(x) for x in bodies[i:j]])
+        counts = np.array([len(x) - length + 1 for x in bodies[i:j]], np.int64)
+        row = np.repeat(np.arange(i, j), counts)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = place + np.repeat(ends - counts - length + 1, counts)
+        tag = ((row + first_tag).astype(np.int64) << 24) | place  # a region is shorter than its segment's windows
+        for a in range(0, len(at), SORTED):
+            yield SuffixArray.of(data, at[a : a + SORTED], tag[a : a + SORTED], length)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, parts: int | None = None, crowd: int = 1000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 96, parts: int | None = None, crowd: int = 1000) -> DataFrame:
     """doc_id, n_bytes, spans and kept of every row of docs.
 
     spans: the maximal runs of bytes [start, end) of the UTF-8 text that are
     covered by a string of `length` bytes that also starts anywhere else, in
     this row or another; overlaps count.  kept: the other bytes, joined.  All
     is judged on the texts as given.  A null text is empty; texts shorter than
-    `length` have no spans.  Rows that repeat an id and a text repeat each
-    other.  Columns beyond doc_id and text play no part.
+    `length` have no spans; very long ones are scanned in segments.  Rows that
+    repeat an id and a text repeat each other.  An empty table gives an empty
+    result.  Columns beyond doc_id and text play no part.
 
-    Suffixes are dealt by anchor, packed in binary columns; what a map batch
+    Regions are dealt by anchor, packed in binary columns; what a map batch
     has met twice is settled there, so that a text with countless copies sends
-    about one entry a batch.  Ranges go back to their document by the key of
+    about one entry a batch.  Ranges go back to their document by two hashes of
     id and text.  An anchor with over `crowd` different regions does not bring
-    them to one task of the second round: their suffixes are dealt one by one,
-    by their own fingerprints.  The first round's result is written to the
-    shared folder.
+    their suffixes to one task: those are dealt one by one, by a 128-bit digest
+    of their first `length` bytes, and equal digests count as equal.  Parts
+    follow Spark's setting or the counted bytes of all texts, whichever gives
+    more.  The regions' result is written to the shared folder.
     """
     spark = docs.sparkSession
-    parts = parts or fan_out(spark)
-    cells = 4 * parts  # of documents: more than tasks, so that tasks get about equal numbers
     if not 0 < gram <= length:
         raise ValueError("gram must be between 1 and length")
-    one = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", one.alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit(1), "text")).alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    parts = parts or max(fan_out(spark), math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / PART_BYTES))
+    cells = 4 * parts  # of documents: more than tasks, so that tasks get about equal numbers
     packed = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
     SETTLED, OPEN, INDEX = 0, 1, 2  # ranges that are repeated; that must be looked at; that only stand for others
     CROWDED = 2  # more than OPEN and INDEX for those of crowded anchors
@@ -223,6 +260,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, parts: i
     def out(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], packed.field(i).type) for i in range(3)], schema=packed)
 
+    def in_order(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Regions by anchor and digest; whether each has the anchor, and the digest too, of the one before."""
+        e = e[np.lexsort((e["c"], e["b"], e["a"]))]
+        one = np.append(False, e["a"][1:] == e["a"][:-1])
+        return e, one, one & np.append(False, (e["b"][1:] == e["b"][:-1]) & (e["c"][1:] == e["c"][:-1]))
+
     def first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, key, text = b["doc"].to_numpy(), b["key"].to_numpy(), texts(b["text"])
@@ -230,41 +273,41 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, parts: i
             found = []
             for i, j in slices([len(p[2]) for p in pieces], SLICE):
                 some = pieces[i:j]
-                piece, p0, p1, a, whole = regions([p[2] for p in some], length, gram)
+                piece, p0, p1, a, digest = regions([p[2] for p in some], length, gram)
                 row, offset = np.array([p[0] for p in some]), np.array([p[1] for p in some])
                 e = np.zeros(len(piece), ENTRY)
-                e["a"], e["b"], e["doc"], e["key"] = a, whole, doc[row[piece]], key[row[piece]]
+                e["a"], e["b"], e["c"], e["doc"], e["key"] = a, digest[:, 0], digest[:, 1], doc[row[piece]], key[row[piece]]
                 e["first"], e["last"] = p0 + offset[piece], p1 + offset[piece]
                 found.append(e)
             if not found:
                 continue
-            e = SuffixLevels._ordered(np.concatenate(found))
-            same = np.zeros(len(e), bool)
-            same[1:] = (e["a"][1:] == e["a"][:-1]) & (e["b"][1:] == e["b"][:-1])
-            yield out([(p, OPEN, x) for p, x in dealt(e[~same], (e["a"][~same] % np.uint64(parts)).astype(np.int64))])
+            e, _, same = in_order(np.concatenate(found))
+            many = same | np.append(same[1:], False)
+            leads = ~same
+            # The first of equal regions stands for all; sent twice, it is seen to repeat.
+            sent = np.concatenate([e[leads], e[leads & many]])
+            yield out([(p, OPEN, x) for p, x in dealt(sent, (sent["a"] % np.uint64(parts)).astype(np.int64))])
             if same.any():
                 yield out([(p, SETTLED, x) for p, x in dealt(as_ranges(e[same]), e["key"][same] % cells)])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = SuffixLevels()
+        found = []
         for b in batches:
             kinds, blobs = b["kind"].to_numpy(), b["blob"]
             settled = pa.RecordBatch.from_arrays([c.filter(pa.array(kinds == SETTLED)) for c in b.columns], schema=packed)
             if settled.num_rows:
                 yield settled
-            fresh = [np.frombuffer(blobs[int(i)].as_py(), ENTRY) for i in np.flatnonzero(kinds == OPEN)]
-            if fresh:
-                levels.add(np.concatenate(fresh))
-        e = levels.finish()
-        if not len(e):
+            found += [np.frombuffer(blobs[int(i)].as_py(), ENTRY) for i in np.flatnonzero(kinds == OPEN)]
+        if not found:
             return
-        twice = (e["flags"] & BOTH) > 0
-        unsure = ((e["flags"] & FIRST) > 0) & ~twice
-        starts = np.flatnonzero(np.append(True, e["a"][1:] != e["a"][:-1]))
-        asked = np.repeat(np.logical_or.reduceat(unsure, starts), np.diff(np.append(starts, len(e))))
-        leads = np.append(True, (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1]))
-        index_ = twice & asked & leads
-        many = np.repeat(np.add.reduceat(unsure | index_, starts, dtype=np.int64) > crowd, np.diff(np.append(starts, len(e))))
+        e, one, two = in_order(np.concatenate(found))
+        del found
+        twice = two | np.append(two[1:], False)
+        unsure = (one | np.append(one[1:], False)) & ~twice
+        starts = np.flatnonzero(~one)
+        sizes = np.diff(np.append(starts, len(e)))
+        index_ = twice & ~two & np.repeat(np.logical_or.reduceat(unsure, starts), sizes)
+        many = np.repeat(np.add.reduceat(unsure | index_, starts, dtype=np.int64) > crowd, sizes)
         for kind, which in ((SETTLED, twice), (OPEN, unsure & ~many), (INDEX, index_ & ~many), (OPEN + CROWDED, unsure & many), (INDEX + CROWDED, index_ & many)):
             found = e[which]
             if len(found):
@@ -292,14 +335,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, parts: i
                 i = where[doc, key]
                 if held[0] != i:
                     held = i, text[i].as_py().encode()
-                body = held[1][first : last + length]
                 if kind > CROWDED:
                     one = np.zeros(last - first + 1, SINGLE)
-                    x = suffixes_of([body], length)
-                    one["a"], one["b"], one["doc"], one["key"], one["at"], one["asks"] = x["a"], x["b"], doc, key, first + x["at"], kind == OPEN + CROWDED
+                    at = range(first, last + 1)
+                    digest = digests(held[1], at, range(first + length, last + length + 1))
+                    one["a"], one["b"], one["doc"], one["key"], one["at"], one["asks"] = digest[:, 0], digest[:, 1], doc, key, at, kind == OPEN + CROWDED
                     singles.append(one)
                 else:
-                    got.append((a % parts, doc, key, first, kind == OPEN, body, None))
+                    got.append((a % parts, doc, key, first, kind == OPEN, held[1][first : last + length], None))
         if singles:
             x = np.concatenate(singles)
             got += [(p, None, None, None, None, None, blob) for p, blob in dealt(x, (x["a"] % np.uint64(parts)).astype(np.int64))]
@@ -308,45 +351,43 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, parts: i
     opened = round_one.where(F.col("kind") != SETTLED)
     second = by_part.groupBy("part").cogroup(opened.groupBy("part")).applyInArrow(bodies, "part int, doc long, key long, first long, asks boolean, body binary, blob binary")
 
+    def runs(doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        """Settled ranges of these windows."""
+        order = np.lexsort((at, key, doc))
+        doc, key, at = doc[order], key[order], at[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1))
+        a = np.flatnonzero(new)
+        found = np.empty(len(a), RANGE)
+        found["doc"], found["key"], found["first"], found["last"] = doc[a], key[a], at[a], at[np.append(a[1:], len(at)) - 1]
+        return out([(p, SETTLED, x) for p, x in dealt(found, found["key"] % cells)])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = SuffixLevels()
-        doc, key, first, asks, n = [], [], [], [], 0
+        levels, singles = SuffixLevels(), []
+        whose: list[np.ndarray] = []
+        n = 0
         for b in batches:
+            singles += [np.frombuffer(x.as_py(), SINGLE) for x in b["blob"].drop_null()]
             regional = b.filter(b["body"].is_valid())
-            body = [x.as_py() for x in regional["body"]]
-            for column, to in (("doc", doc), ("key", key), ("first", first), ("asks", asks)):
-                to.append(regional[column].to_numpy(zero_copy_only=False))
-            fresh = []
-            for i, j in slices([len(x) for x in body], SLICE):
-                s = suffixes_of(body[i:j], length)
-                s["row"] += n + i
-                fresh.append(s)
-            n += len(body)
-            for blob in b["blob"].drop_null():
-                one = np.frombuffer(blob.as_py(), SINGLE)
-                for column, to in (("doc", doc), ("key", key), ("at", first), ("asks", asks)):
-                    to.append(one[column])
-                s = np.zeros(len(one), SUFFIX)
-                s["a"], s["b"], s["row"] = one["a"], one["b"], n + np.arange(len(one))
-                n += len(one)
-                fresh.append(s)
-            if fresh:
-                levels.add(np.concatenate(fresh))
-        s = levels.finish()
-        if not len(s):
-            return
-        doc, key, first, asks = (np.concatenate(x) for x in (doc, key, first, asks))
-        s = s[((s["flags"] & BOTH) > 0) & asks.astype(bool)[s["row"]]]
-        s = s[np.lexsort((s["at"], s["row"]))]
-        if not len(s):
-            return
-        new = np.append(True, (s["row"][1:] != s["row"][:-1]) | (s["at"][1:] != s["at"][:-1] + np.uint32(1)))
-        a = np.flatnonzero(new)
-        z = np.append(a[1:], len(s)) - 1
-        found = np.empty(len(a), RANGE)
-        row = s["row"][a]
-        found["doc"], found["key"], found["first"], found["last"] = doc[row], key[row], first[row] + s["at"][a], first[row] + s["at"][z]
-        yield out([(p, SETTLED, x) for p, x in dealt(found, found["key"] % cells)])
+            if regional.num_rows:
+                whose.append(np.stack([regional[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "key", "first", "asks")]))
+                for batch in suffixes_of([x.as_py() for x in regional["body"]], n, length):
+                    levels.add(batch)
+                n += regional.num_rows
+        if singles:
+            s = np.concatenate(singles)
+            s = s[np.lexsort((s["b"], s["a"]))]
+            same = (s["a"][1:] == s["a"][:-1]) & (s["b"][1:] == s["b"][:-1])
+            s = s[(np.append(False, same) | np.append(same, False)) & (s["asks"] > 0)]
+            if len(s):
+                yield runs(s["doc"], s["key"], s["at"].astype(np.int64))
+        array = levels.finish()
+        if array is not None:
+            doc, key, first, asks = np.concatenate(whose, axis=1)
+            row, place = array.tag >> 24, array.tag & ((1 << 24) - 1)
+            hit = array.again & (asks[row] > 0)
+            row, place = row[hit], place[hit]
+            if len(row):
+                yield runs(doc[row], key[row], first[row] + place)
 
     round_two = second.repartitionById(parts, "part").mapInArrow(search, plain)
     ranges = round_one.where(F.col("kind") == SETTLED).unionByName(round_two)
@@ -372,7 +413,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, parts: i
     return by_part.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(settle, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
-def removal_digest() -> list:
+def removal_digest() -> list[str | Column]:
     """Columns n_bytes, n_removed, n_spans and kept_sha256 from those of repeated_spans."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return ["n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
