@@ -8,13 +8,14 @@ import re
 import sys
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices
+from weftline.llm.common import fresh, quoted, slices, without
 
 # How this kind of tokenizer splits lower-case text, for characters where libraries surely agree.
 #: Texts of these characters alone are in composed form and have no case or space rules beyond ASCII's.
@@ -193,8 +194,11 @@ class WordBpe:
 
 
 def tokenizer(described: str) -> WordBpe:
-    """One tokenizer for each Python worker, with the words that it has met."""
-    kept = sys.__dict__.setdefault("_weftline_bpe", {})
+    """One tokenizer for each Python worker, with the words that it has met.
+
+    It is kept in a module of its own, as functions sent to executors bring their globals anew for each task.
+    """
+    kept = vars(sys.modules.setdefault("weftline_worker_state", ModuleType("weftline_worker_state"))).setdefault("tokenizers", {})
     key = hashlib.sha256(described.encode()).hexdigest()
     if key not in kept:
         kept.clear()
@@ -209,16 +213,17 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", slice_c
     size is the file's).  Special tokens in a text are recognised; none are
     added.  A null text counts as empty and gives no ids and an empty string;
     long texts are encoded whole, in memory proportional to their length.
-    Rows pass one by one without a shuffle, repeats included; columns ids and
-    decoded replace any of those names.
+    Rows pass one by one without a shuffle, repeats included, and an empty
+    table gives an empty one; columns ids and decoded replace any of those
+    names, other columns pass whatever they are called.
     """
     spark = docs.sparkSession
     with open(path) as f:
         described = spark.sparkContext.broadcast(f.read())
-    others = [c for c in docs.columns if c not in (text_col, "ids", "decoded")]
-    sent = docs.select(*others, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    others = without(docs, text_col, "ids", "decoded")
+    sent = docs.select(*map(quoted, others), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias(fresh(docs, "text")[0]))
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "ids array<int>", "decoded string"])
+    schema = ", ".join([*(f"{quoted(c)} {kinds[c]}" for c in others), "ids array<int>", "decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(described.value)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,10 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import sample_by_id, slices
+from weftline.llm.common import fresh, quoted, sample_by_id, slices, without
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 ORDERS = (1, 2, 3)
 
 
@@ -79,7 +77,7 @@ class LanguageModel:
         z = self.logits(texts) / self.temperature
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        known = [LETTER.search(t) is not None for t in texts]
+        known = [any(map(str.isalpha, t)) for t in texts]
         best = p.argmax(axis=1)
         return [self.labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], [float(p[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known, strict=True))]
 
@@ -151,25 +149,26 @@ def hash_text(x: object) -> bytes:
     return hashlib.blake2b(str(x).encode(), digest_size=8).digest()
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs plus lang_pred and score.
+def predict_languages(docs: DataFrame, model: LanguageModel, label_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs plus label_col and score_col.
 
     Whole texts count, each row by itself: nothing is shuffled.  A null text
     or one without a letter gets und and 0; so does every text if no row had a
-    label.  Equal scores go to the language first in order.  lang_pred and
-    score replace columns of those names; the others pass untouched.
+    label.  Equal scores go to the language first in order.  Repeated rows get
+    equal results, an empty table none; a long text takes memory proportional
+    to its length.  label_col and score_col replace columns of those names; the
+    others pass untouched, whatever they are called.
     """
-    kept = docs.drop("lang_pred", "score")
+    columns = without(docs, label_col, score_col)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(vars(model)))
-    columns = kept.columns
-    kinds = dict(kept.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "lang_pred string", "score double"])
-    passed = kept.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"{quoted(c)} {kinds[c]}" for c in columns), f"{quoted(label_col)} string", f"{quoted(score_col)} double"])
+    passed = docs.select(*map(quoted, columns), F.coalesce(F.col("text").cast("string"), F.lit("")).alias(fresh(docs, "text")[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(**pickle.loads(sent.value))
         for b in batches:
             labels, scores = own.predict(b.column(len(columns)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*columns, label_col, score_col])
 
     return passed.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import sample_by_id, slices, texts
+from weftline.llm.common import fresh, quoted, sample_by_id, slices, texts, without
 
 WIDTH, FILTERS, DIMS, CHUNK = 6, 16, 8, 512
 SLICE = 1 << 18
@@ -173,14 +173,14 @@ def score_quality(docs: DataFrame, net: ByteNet) -> DataFrame:
 
     Whole texts, row by row, without a shuffle; null counts as empty, and an
     empty text is scored as WIDTH zero bytes.  A long text is read in chunks,
-    in memory proportional to its length.  score and predicted replace columns
-    of those names; others pass untouched.
+    in memory proportional to its length.  Repeated rows get equal scores, an
+    empty table none.  score and predicted replace columns of those names;
+    others pass untouched, whatever they are called.
     """
-    kept = docs.drop("score", "predicted")
-    columns, kinds = kept.columns, dict(kept.dtypes)
+    columns, kinds = without(docs, "score", "predicted"), dict(docs.dtypes)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(vars(net)))  # a few KB
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "score double", "predicted int"])
-    passed = kept.withColumn("_text", F.col("text").cast("string"))
+    schema = ", ".join([*(f"{quoted(c)} {kinds[c]}" for c in columns), "score double", "predicted int"])
+    passed = docs.select(*map(quoted, columns), F.col("text").cast("string").alias(fresh(docs, "text")[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ByteNet(**pickle.loads(sent.value))

@@ -2,44 +2,47 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, exact_dedup, langid, mixing, ngram_join, quality, secrets, sharding, suffix_dedup, topk
-from weftline.llm.common import id_remainder, table
+from weftline.llm.common import cut, id_remainder, table
 
 #: Where the tokenizer's file is, on the driver.
-TOKENIZER = os.environ.get("WEFTLINE_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
+TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for each vector whose id is divisible by 100; odd rows as exact_topk states."""
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of secrets in every text; odd rows as find_secrets states."""
     docs = table(spark, sf_dir, "documents")
     model = secrets.train(secrets.labelled_samples(docs))
     return secrets.secret_report(secrets.find_secrets(docs, model))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set, and its component; odd rows as jaccard_components states."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A null id is held out."""
+    """The language of every document.  A null id is held out; other odd rows as predict_languages states."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"))
     model = langid.fit_languages(docs.where("not held_out"))
     return langid.predict_languages(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A null id is held out."""
+    """The quality of every document.  A null id is held out; other odd rows as score_quality states."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(True)).alias("held_out"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null")
     net = quality.fit_quality(docs.where("not held_out").join(labels, "doc_id"))
@@ -47,10 +50,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Law rows: equal texts are spread like any other rows, whatever their number."""
+    """Law rows: equal texts are spread like any other rows, whatever their number; a null text has size 1.
+
+    Sizes and checksums are computed once, into a table in the shared folder.
+    """
     text = F.col("text").cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.crc32(F.lit("").cast("binary"))).alias("text_crc32"))
-    out = sharding.shuffle_into_shards(docs)
+    out = sharding.shuffle_into_shards(cut(docs))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -61,16 +67,27 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every document; odd rows as exact_dedup states."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and the decoded text of every document; odd rows as encode_documents states."""
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
     return encoded.select("doc_id", *bpe.token_digest(encoded))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", *suffix_dedup.removal_digest())
+    """What is removed from every document, and the text that is left; odd rows as repeated_spans states.
+
+    Beyond the columns of the digest: repeats, whether anything is removed;
+    spans, the removed runs as start:end in bytes, joined by commas; text, what
+    is left, where bytes of a character that was cut become U+FFFD.
+    """
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select("doc_id", *suffix_dedup.removal_digest(), (F.size("spans") > 0).alias("repeats"), listed.alias("spans"), text.alias("text"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk, op2_secrets, op3_ngram_join, op4_langid, op5_sharding, op6_quality, op7_mixing, op8_exact_dedup, op9_bpe, op10_suffix_dedup)}
@@ -91,7 +108,7 @@ SQL: dict[str, str] = {
             select source, sum(coalesce(strlen(text), 0))::double as has from documents group by source
         ), whole as (select sum(has) as a, count(*)::double as w from per),
         rate as (select source, case when has > 0 then (1.0::double * a * 1.0::double) / (w * has) else 0 end as r from per, whole),
-        piece as (select source, greatest(1, ceil(r / 16)::integer) as m, r / greatest(1, ceil(r / 16)::integer) as mean from rate),
+        piece as (select source, greatest(1, ceil(r / 16)::bigint) as m, r / greatest(1, ceil(r / 16)::bigint) as mean from rate),
         steps as (
             select source, m, mean, 0 as k, exp(-mean) as p, exp(-mean) as c from piece
             union all
@@ -101,8 +118,8 @@ SQL: dict[str, str] = {
             from documents d join piece p on d.source is not distinct from p.source, lateral (select unnest(range(1, m + 1)) as j)
         ), n as (
             select p.doc_id, p.source, (select count(*) from steps s where s.source is not distinct from p.source and s.c <= p.u) as k from pieces p
-        ), counts as (select doc_id, source, sum(k)::integer as n_copies from n group by all)
-        select doc_id, source, copy::integer as copy, n_copies, md5('7:order:' || coalesce(doc_id::varchar, 'null') || ':' || copy) as shuffle_key
+        ), counts as (select doc_id, source, sum(k)::bigint as n_copies from n group by all)
+        select doc_id, source, copy::bigint as copy, n_copies, md5('7:order:' || coalesce(doc_id::varchar, 'null') || ':' || copy) as shuffle_key
         from counts, lateral (select unnest(range(0, n_copies)) as copy)""",
     "op8_exact_dedup": r"""
         with d as (
