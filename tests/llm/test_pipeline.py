@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from test_ten import DOCS, ODD, brute_components, brute_copies, brute_exact  # same folder
+from test_ten import DOCS, NAMES, ODD, brute_components, brute_copies, brute_exact  # same folder
 from weftline.llm import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -65,3 +65,20 @@ def test_all_eleven_are_registered():
     names = __spark_entry__.queries()
     assert [n for i in range(1, 11) for n in names if n.startswith(f"op{i}_")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
     assert "pipeline" in names
+
+
+def test_stages_leave_other_columns_alone(spark):
+    given = spark.createDataFrame(ODD, DOCS).select("*", *(F.lit(f"mine-{x}").alias(x) for x in NAMES))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, SMALL)
+        assert out.columns == given.columns, name
+        assert out.select(*NAMES).distinct().count() == (0 if out.isEmpty() else 1)
+        assert out.isEmpty() or out.select(*NAMES).first() == given.select(*NAMES).first()
+    assert corpus_pipeline.tokenize(spark, given, SMALL).count() == len(ODD)
+
+
+def test_one_of_rows_that_repeat_id_and_text_stays(spark):
+    rows = [(1, "a b"), (1, "a  b"), (1, "ab"), (None, "c"), (None, "c"), (None, "c d"), (2, None), (3, ""), (4, "cd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, corpus_pipeline.drop_copies(spark, df, "").collect()), key=repr)
+    assert got == sorted([(1, "a  b"), (None, "c"), (2, None), (None, "c d")], key=repr)

@@ -544,3 +544,114 @@ def test_shared_folder_must_be_named_on_a_cluster(master, set_):
     else:
         with pytest.raises(ValueError, match="checkpoint"):
             common.shared_dir(spark)
+
+
+# Columns whose names the operators use themselves
+
+NAMES = (
+    "_text _source _rate _pieces _steps _copy _of _size _part _ends _nth _mixed _cell _at _row _points source_ rate pieces steps of part ends nth mixed cell at row own copy n_copies shuffle_key size has weight "
+    "score lang_pred predicted held_out text_sha256 keep_id group_size kept ids decoded shard slot label cid n second sketch digest _digest key doc blob kind id sha best one words terms asks qb rb spans n_bytes least none first"
+).split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, odd):
+    df = spark.createDataFrame(ODD, DOCS)
+    return df.select("*", *(F.lit(f"mine-{x}").alias(x.upper() if k % 3 == 0 else x) for k, x in enumerate(NAMES)))
+
+
+def untouched(df, but=()):
+    """Whether each row still has the extra columns as they were."""
+    mine = [c for c in df.columns if c.lower() in NAMES and c.lower() not in but]
+    assert len(mine) >= len(NAMES) - len(but) and len({c.lower() for c in df.columns}) == len(df.columns)
+    for r in df.collect():
+        assert all(r[c] == f"mine-{c.lower()}" for c in mine)
+
+
+def test_clashing_columns_of_operators(spark, clashing):
+    languages = langid.train([("der hund und die katze", "de"), ("the dog and the cat", "en")] * 10)
+    untouched(langid.predict_languages(clashing, languages), {"lang_pred", "score"})
+    untouched(quality.score_quality(clashing, quality.train([])), {"score", "predicted"})
+    untouched(bpe.encode_documents(clashing, queries.TOKENIZER), {"ids", "decoded"})
+    untouched(mixing.mix_sources(clashing), {"copy", "n_copies", "shuffle_key"})
+    untouched(sharding.shuffle_into_shards(clashing, 4, key_cols=("doc_id", "text"), parts=3), {"shard", "slot"})
+    plain = spark.createDataFrame(ODD, DOCS)
+    for f in (exact_dedup.exact_dedup, ngram_join.jaccard_components, suffix_dedup.repeated_spans, lambda d: secrets.find_secrets(d, secrets.train(spark.createDataFrame([], "word string, is_random boolean")))):
+        assert tuples(f(clashing)) == tuples(f(plain))
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "vec_id long, embedding array<float>")
+    more = vectors.select("*", *(F.lit("x").alias(x) for x in NAMES))
+    assert tuples(topk.exact_topk(more, F.col("vec_id") == 0)) == tuples(topk.exact_topk(vectors, F.col("vec_id") == 0))
+
+
+# Sizes and rates beyond those of any table here
+
+
+def test_matrix_beyond_a_billion_rows():
+    got = sharding.communication_matrix([10**8] * 12 + [10**12], 16, 1)
+    assert (got.sum(axis=1) == [10**8] * 12 + [10**12]).all() and np.ptp(got.sum(axis=0)) <= 1
+    part = got[0] / 10**8 - 1 / 16  # standard deviation about 2.4e-5
+    assert np.abs(part).max() < 2e-4 and part.any()
+
+
+def test_large_draws_follow_the_distribution(monkeypatch):
+    """The rejection sampler, used for small populations too, against exact chances."""
+    monkeypatch.setattr(sharding, "MOST", 0)
+    draw = np.random.default_rng(8)
+    for good, bad, n in ((7, 5, 6), (3, 40, 20), (300, 200, 100), (1, 1, 1), (50, 2, 51)):
+        got = Counter(sharding.hypergeometric(draw, good, bad, n) for _ in range(6000))
+        want = {k: math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(max(0, n - bad), min(n, good) + 1)}
+        assert set(got) <= set(want)
+        off = sum((got[k] - 6000 * p) ** 2 / (6000 * p) for k, p in want.items() if 6000 * p > 5)
+        assert off < 3 * sum(6000 * p > 5 for p in want.values()) + 15
+
+
+def test_a_tiny_source(spark):
+    """One row of a byte beside rows of 20,000: thousands of copies, as the distribution says; beyond the limit an error."""
+    rows = [(0, "tiny", 1)] + [(i, "large", 20_000) for i in range(1, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = Counter(r["doc_id"] for r in mixing.mix_sources(df, size=F.col("size")).collect())
+    rate = 180_001 / 2
+    assert got[0] == brute_copies(rate, 7, 0) and abs(got[0] - rate) < 6 * rate**0.5
+    copies = mixing.mix_sources(df, size=F.col("size")).where("doc_id = 0").agg(F.countDistinct("copy"), F.min("copy"), F.max("copy"), F.min("n_copies")).first()
+    assert tuple(copies) == (got[0], 0, got[0] - 1, got[0])
+    with pytest.raises(ValueError, match="most_rate"):
+        mixing.mix_sources(df, size=F.col("size"), most_rate=1000.0)
+    huge = spark.createDataFrame([(0, "tiny", 1)] + [(i, "large", 10**13) for i in range(49)], "doc_id long, source string, size long")
+    with pytest.raises(ValueError, match="most_rate"):
+        mixing.mix_sources(huge, size=F.col("size"))
+
+
+def test_topk_deals_rows_to_all_cores(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.integers(-3, 4, 8)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(topk, "LEAST_ROWS", 20)
+    monkeypatch.setattr(topk, "MOST_PARTS", 5)
+    got = topk.exact_topk(df, F.col("vec_id") % 3 == 0, 5)
+    assert tuples(got) == brute_topk(rows, 5)
+
+
+def test_numerals_are_no_letters():
+    model = langid.train([("der hund und die katze", "de"), ("the dog and the cat", "en")] * 10)
+    labels, scores = model.predict(["½ ²", "Ⅷ", "12 _ !", "a½", "日", "ª"])
+    assert [x == "und" for x in labels] == [True, True, True, False, False, False]
+    assert scores[:3] == [0.0] * 3
+
+
+def test_class_ids_that_clash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ID_BITS", np.uint64(3))
+    rows = families(3, 14, 40)
+    assert tuples(ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))) == brute_components(rows)
+
+
+@pytest.mark.parametrize("length", [16, 24, 32, 64])
+def test_random_strings_of_many_lengths(spark, length):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = secrets.train(secrets.labelled_samples(docs))
+    r = random.Random(length)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = [(i, "".join(r.choices(base64, k=length))) for i in range(150)] + [(150 + i, "".join(r.choices("0123456789abcdef", k=length))) for i in range(150)]
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), model).where((F.size("random") > 0) | (F.size("base") > 0))
+    ids = {x["doc_id"] for x in found.collect()}
+    assert sum(i < 150 for i in ids) >= 0.9 * 150  # about the threshold at 16
+    assert sum(i >= 150 for i in ids) >= (0.9 if length >= 24 else 0.5) * 150
