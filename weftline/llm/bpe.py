@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fresh, quoted, slices, without
+from weftline.llm.common import fresh, pieces, quoted, slices, without
 
 # How this kind of tokenizer splits lower-case text, for characters where libraries surely agree.
 #: Texts of these characters alone are in composed form and have no case or space rules beyond ASCII's.
@@ -23,6 +23,8 @@ PLAIN = re.compile("[\t-\r\x20-\x7e¡-įı-ſ]*")
 _LETTERS, _DIGITS, _SPACE = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾", "\t-\r\x20"
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{_DIGITS}]+")
 END = "</w>"
+#: Slices whose words are kept when memory runs out.
+LATELY = 2
 
 
 def byte_letters() -> list[str]:
@@ -40,7 +42,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """A word-level BPE tokenizer read from its JSON description (NFC, lower case, byte letters, END on last letters)."""
 
-    def __init__(self, described: str, most_words: int = 500_000):
+    def __init__(self, described: str, most_words: int = 250_000):
         from tokenizers import Tokenizer
 
         spec = json.loads(described)
@@ -68,6 +70,7 @@ class WordBpe:
         self.ending = {END: {t.removesuffix(END): self.vocab[t] for t in whole if t.endswith(END)}, "": {t: self.vocab[t] for t in whole if not t.endswith(END)}}
         self.words: dict[str, tuple[int, ...]] = {}
         self.most_words = most_words
+        self.lately: list[set[str]] = []  # the words of the last slices
         self.library = Tokenizer.from_str(described)
 
     def symbols(self, token: int) -> list[int]:
@@ -179,11 +182,15 @@ class WordBpe:
                 cut.append([(self.special[x],) if i % 2 else self.split(x) for i, x in enumerate(self.cut.split(t))])
             else:
                 cut.append([self.split(t)])
-        new = {w for parts in cut for p in parts if isinstance(p, list) for w in p if w not in self.words}
-        if len(self.words) + len(new) > self.most_words:  # bounded memory; what is forgotten is encoded again
-            self.words.clear()
-            new = {w for parts in cut for p in parts if isinstance(p, list) for w in p}
-            self.fits = {} if len(self.fits) > 2_000_000 else self.fits
+        met = {w for parts in cut for p in parts if isinstance(p, list) for w in p}
+        new = met - self.words.keys()
+        if len(self.words) + len(new) > self.most_words:  # bounded memory: what neither this nor the last slices had is forgotten, and encoded again when it comes
+            lately = met.union(*self.lately)
+            self.words = {w: ids for w, ids in self.words.items() if w in lately}
+            self.fits = {} if len(self.fits) > self.most_words else self.fits
+            if len(self.words) > self.most_words // 2:
+                self.words, new = {}, met
+        self.lately = [*self.lately[1 - LATELY :], met]
         self.learn(new)
         of = self.words.__getitem__
         return [list(chain.from_iterable(chain.from_iterable(map(of, p)) if isinstance(p, list) else p for p in parts)) for parts in cut]
@@ -227,7 +234,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", slice_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(described.value)
-        for b in batches:
+        for b in pieces(batches, len(others)):
             texts = b.column(len(others)).to_pylist()
             for i, j in slices([len(t) for t in texts], slice_chars):
                 ids = bpe.encode_all(texts[i:j])

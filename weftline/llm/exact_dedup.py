@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WHITE, batch, fan_out, texts
+from weftline.llm.common import WHITE, batch, fan_out, pieces, texts
 
 #: content, rows, (code points, doc_id) of the best row
 Entry = tuple[bytes, int, tuple[int, int | None]]
@@ -122,7 +122,7 @@ def exact_groups(docs: DataFrame, budget: int = 48 << 20, parts: int | None = No
 
     def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = OpenTable()
-        for b in batches:
+        for b in pieces(batches, "text"):
             for i, points, content in _normalised(b):
                 table.add((content, 1, (points, i)), hash_of(content, 1))
                 if table.bytes > budget // 2:
@@ -156,7 +156,7 @@ def digests(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("_points", pa.int64()), ("text_sha256", pa.string())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             rows = [(i, n, hashlib.sha256(t).hexdigest()) for i, n, t in _normalised(b)]
             yield batch(schema, doc_id=[r[0] for r in rows], _points=[r[1] for r in rows], text_sha256=[r[2] for r in rows])
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fresh, quoted, sample_by_id, slices, without
+from weftline.llm.common import fresh, pieces, quoted, sample_by_id, slices, without
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -167,7 +167,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, label_col: str = "l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(**pickle.loads(sent.value))
-        for b in batches:
+        for b in pieces(batches, len(columns)):
             labels, scores = own.predict(b.column(len(columns)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*columns, label_col, score_col])
 

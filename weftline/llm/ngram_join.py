@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WHITE, batch, cut, fan_out, joined, mix64, range_hashes, slices, texts
+from weftline.llm.common import WHITE, batch, cut, fan_out, joined, mix64, pieces, range_hashes, slices, texts
 from weftline.llm.components import components
 
 U = np.uint64
@@ -193,7 +193,7 @@ def set_rows(docs: DataFrame, clashes: tuple[int, ...] = ()) -> DataFrame:
     """doc_id, n, cid and second (hashes of the set), sketch and digest of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             sets = shingle_sets(texts(b["text"]))
             ids = class_ids(sets, clashes)
             yield batch(_ROW, doc_id=b["doc_id"], n=[len(s) for s in sets], cid=ids[:, 0], second=ids[:, 1], sketch=[sketch(s) for s in sets], digest=b["digest"])
@@ -208,10 +208,10 @@ def shared_signatures(docs: DataFrame, parts: int, clashes: tuple[int, ...] = ()
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             sets = shingle_sets(texts(b["text"]))
             cids = class_ids(sets, clashes)[:, 0]
-            _, once = np.unique(cids, return_index=True)  # copies sign once a batch
+            _, once = np.unique(cids, return_index=True)  # copies sign once a piece
             sets, cids = [sets[i] for i in once], cids[once]
             for i, j in slices([8 * len(s) for s in sets], 8 << 19):
                 row, value = signatures(sets[i:j])
@@ -302,7 +302,7 @@ def linked(pairs: DataFrame, docs: DataFrame, leads: DataFrame, clashes: tuple[i
     schema = pa.schema([("cid", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             read = texts(b["text"])
             ids, own = class_ids(shingle_sets(read), clashes)[:, 0], b["cid"].to_numpy()
             right = [k for k in range(len(own)) if ids[k] == own[k]]  # another row may repeat the id

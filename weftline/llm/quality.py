@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fresh, quoted, sample_by_id, slices, texts, without
+from weftline.llm.common import fresh, pieces, quoted, sample_by_id, slices, texts, without
 
 WIDTH, FILTERS, DIMS, CHUNK = 6, 16, 8, 512
 SLICE = 1 << 18
@@ -184,7 +184,7 @@ def score_quality(docs: DataFrame, net: ByteNet) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ByteNet(**pickle.loads(sent.value))
-        for b in batches:
+        for b in pieces(batches, len(columns)):
             s = own.scores(texts(b.column(len(columns))))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*columns, "score", "predicted"])
 
