@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import axis
 from weftline.operators import arrays as a
+from weftline.operators.labelled import Coordinates, Labelled, Linear, concatenate
 from weftline.session import table
 
 SHAPE, DIMS = (4, 4, 4), ("step", "freq", "ch")
@@ -56,7 +57,9 @@ def transpose(spark, d):
 
 
 def transpose_long(spark, d):
-    return a.transpose(_long(spark, d), DIMS)
+    """Each element's place in row-major order of the reversed dimensions."""
+    x = a.transpose(_long(spark, d), DIMS)
+    return a.to_packed(x, ["vec_id"], [c for c in x.columns if c in DIMS]).select("vec_id", F.posexplode("data").alias("i", "value"))
 
 
 def as2d(spark, d):
@@ -82,6 +85,31 @@ def stack_axis(spark, d):
     return a.concatenate([x, x], "batch", [1, 1], new=True)
 
 
+def _labelled(spark, d, key: str, *names: str) -> Labelled:
+    """Frequencies at 10, 12.5, 15, 17.5, and channels with names."""
+    axes = {"freq": Linear(2.5, 10.0, "Hz"), "ch": Coordinates(names)}
+    return Labelled(_long(spark, d), DIMS, SHAPE, axes, key)
+
+
+def labelled_concat(spark, d):
+    """Named channels end to end, of the arrays of one key."""
+    x, y = _labelled(spark, d, "eeg", "c0", "c1", "c2", "c3"), _labelled(spark, d, "eeg", "x0", "x1", "x2", "x3")
+    z = concatenate(x, _labelled(spark, d, "other", "o0", "o1", "o2", "o3"), y, dim="ch", filter_key="eeg")
+    return z.with_labels().withColumn("key", F.lit(z.key))
+
+
+def labelled_stack(spark, d):
+    """Arrays of two keys along a new dimension with an axis of its own."""
+    z = concatenate(_labelled(spark, d, "a", "c0", "c1", "c2", "c3").isel(ch=[3, 0]), _labelled(spark, d, "b", "c0", "c1", "c2", "c3").isel(ch=[3, 0]), dim="run", axis=Linear(60.0, 5.0, "s"))
+    return z.with_labels().withColumn("key", F.lit(z.key))
+
+
+def labelled_sel(spark, d):
+    """By labels, then transposed; axes follow."""
+    z = _labelled(spark, d, "a", "c0", "c1", "c2", "c3").sel(freq=slice(12.5, 17.5)).isel(ch=slice(1, 4, 2)).transpose()
+    return z.with_labels()
+
+
 def sliding_window(spark, d):
     x = _packed(spark, d).select("vec_id", F.posexplode(a.sliding_windows("data", 50, 7)).alias("win", "w"))
     return x.select("vec_id", "win", F.size("w").alias("n"), F.round(F.aggregate("w", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
@@ -130,7 +158,7 @@ def time_axis(spark, d):
     return x.select("n_nationkey", "t.kind", "t.unit", F.round("t.gain", 9).alias("gain"), "t.offset")
 
 
-_FNS = (array_long, array_round_trip, isel, isel_last, isel_list, sel, slice_axis, transpose, transpose_long, as2d, shape2d, iter_axis, concat_axis, stack_axis, sliding_window, sliding_window_long, chunk_array, rename_axis, elementwise, axis_value, axis_index, axis_values, coordinate_axis, time_axis)
+_FNS = (array_long, array_round_trip, isel, isel_last, isel_list, sel, slice_axis, transpose, transpose_long, as2d, shape2d, iter_axis, concat_axis, stack_axis, labelled_concat, labelled_stack, labelled_sel, sliding_window, sliding_window_long, chunk_array, rename_axis, elementwise, axis_value, axis_index, axis_values, coordinate_axis, time_axis)
 QUERIES = {f.__name__: f for f in _FNS}
 L_ = """l as (select vec_id, (i // 16)::integer as step, (i // 4 % 4)::integer as freq, (i % 4)::integer as ch, embedding[i + 1]::double as value from embeddings, (select unnest(range(64)) as i))"""
 SQL = {
@@ -142,12 +170,18 @@ SQL = {
     "sel": f"with {L_} select * from l where freq < 2",
     "slice_axis": f"with {L_} select vec_id, freq, ch, value from l where step = 2",
     "transpose": f"with {L_} select vec_id, (16 * ch + 4 * freq + step)::integer as i, value from l",
-    "transpose_long": f"with {L_} select * from l",
+    "transpose_long": f"with {L_} select vec_id, (16 * ch + 4 * freq + step)::integer as i, value from l",
     "as2d": f"with {L_} select vec_id, freq as row, (4 * step + ch)::integer as col, value from l",
     "shape2d": "select vec_id, len(embedding)::bigint as rows, 16::bigint as cols from embeddings",
     "iter_axis": f"with {L_} select vec_id, step as step_index, count(*) as n, round(sum(value), 6) as total from l group by all",
     "concat_axis": f"with {L_} select vec_id, step, freq, ch, value, '' as key from l union all select vec_id, step + 4, freq, ch, value, '' from l",
-    "stack_axis": f"with {L_} select l.*, b.i::integer as batch, 'a' as key from l, (values (0), (1)) b(i) where vec_id < 10",
+    "stack_axis": f"with {L_} select l.*, b.i::integer as batch, 'a' as key from l, (values (0), (1)) b(i)",
+    "labelled_concat": f"""with {L_} select vec_id, step, freq, (ch + 4 * p)::integer as ch, value, step::double as step_label, freq * 2.5::double + 10 as freq_label,
+        case p when 0 then 'c' else 'x' end || ch as ch_label, 'eeg' as key from l, (values (0), (1)) b(p)""",
+    "labelled_stack": f"""with {L_} select run::integer as run, vec_id, step, freq, case ch when 3 then 0 else 1 end::integer as ch, value, run * 60.0::double + 5 as run_label, step::double as step_label,
+        freq * 2.5::double + 10 as freq_label, 'c' || ch as ch_label, '' as key from l, (values (0), (1)) b(run) where ch in (0, 3)""",
+    "labelled_sel": f"""with {L_} select vec_id, step, (freq - 1)::integer as freq, (ch // 2)::integer as ch, value, step::double as step_label, freq * 2.5::double + 10 as freq_label, 'c' || ch as ch_label
+        from l where freq in (1, 2) and ch in (1, 3)""",
     "sliding_window": "with w as (select vec_id, unnest(range(3))::integer as win, embedding from embeddings) select vec_id, win, 50::integer as n, round(list_sum(list_transform(embedding[win * 7 + 1:win * 7 + 50], lambda x: x::double)), 6) as total from w",
     "sliding_window_long": "with w as (select vec_id, unnest(range(15))::integer as win, embedding from embeddings) select vec_id, win, 8::bigint as n, round(list_sum(list_transform(embedding[win * 4 + 1:win * 4 + 8], lambda x: x::double)), 6) as total from w",
     "chunk_array": "select vec_id, c::integer as chunk, round(c * 19 / 1000.0::double, 9) as \"offset\", least(19, 64 - 19 * c)::integer as n from embeddings, (select unnest(range(4)) as c)",

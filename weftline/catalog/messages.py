@@ -36,7 +36,7 @@ def fan_in(spark, d):
 
 
 def modulus(spark, d):
-    return _events(spark, d).select("event_id", F.pmod(F.col("event_id") - 500, F.lit(3)).alias("m"))
+    return m.modulus(_events(spark, d).select("event_id", (F.col("event_id") - 500).alias("v")), "v", 3, "m").select("event_id", "m")
 
 
 def chunk_events(spark, d):
@@ -131,7 +131,7 @@ def pub_snapshot(spark, d):
 
 def sub_snapshot(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    return e.groupBy("user_id").agg(F.count("*").alias("received_total"), F.max_by("event_type", "event_id").alias("last_channel"))
+    return t.receiver_totals(e, "event_type", "event_id", ["user_id"])
 
 
 def trace_merge(spark, d):
@@ -187,6 +187,18 @@ def array_codec(spark, d):
     return back.select("vec_id", (F.col("data") == F.col("back")).alias("same"), F.size("back").alias("n"))
 
 
+def ndarray_codec(spark, d):
+    """Arrays of four dtypes with their shapes through log lines and back."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 50).cast("double")).alias("data"))
+    kinds = ["<f8", "<f4", "<i2", ">i4"]
+    lines = None
+    for i, kind in enumerate(kinds):
+        one = e.where(F.col("vec_id") % 4 == i).select("vec_id", "data", codec.log_line(F.col("vec_id"), codec.encoded_ndarray(F.col("data"), F.array(F.lit(4), F.lit(16)), kind)).alias("line"))
+        lines = one if lines is None else lines.unionByName(one)
+    back = lines.select("vec_id", "data", codec.decoded_ndarray(codec.log_fields(F.col("line"), f"struct<{codec.ARRAY_FIELDS}>")["obj"]).alias("x"))
+    return back.select("vec_id", (F.col("data") == F.col("x.data")).alias("same"), F.col("x.dtype").alias("dtype"), F.array_join("x.shape", "x").alias("shape"))
+
+
 def _settings(spark, d):
     e = table(spark, d, "events")
     kind = F.when(F.col("event_type") == "error", "exit").when(F.col("event_type") == "login", "initial").otherwise("update")
@@ -242,7 +254,7 @@ def component_tree(spark, d):
     return control.component_tree(r.unionByName(n))
 
 
-_FNS = (filter_key, set_key, fan_in, modulus, chunk_events, chunk_by_user, gate_control, gate_after_n, gate_reverting, leaky_last_n, retention, cursor_after, sample_hold, trace_sample, listener_latest, terminate_total, publish_delta, receive_gaps, counter_gaps, pub_snapshot, sub_snapshot, trace_merge, trace_scope, trace_windows, drop_summary, telemetry_view, log_encode, log_scan, perf_runs, array_codec, settings_latest, settings_effective, settings_accepted, settings_patch, settings_merge, text_functions, datestamp, component_tree)
+_FNS = (filter_key, set_key, fan_in, modulus, chunk_events, chunk_by_user, gate_control, gate_after_n, gate_reverting, leaky_last_n, retention, cursor_after, sample_hold, trace_sample, listener_latest, terminate_total, publish_delta, receive_gaps, counter_gaps, pub_snapshot, sub_snapshot, trace_merge, trace_scope, trace_windows, drop_summary, telemetry_view, log_encode, log_scan, perf_runs, array_codec, ndarray_codec, settings_latest, settings_effective, settings_accepted, settings_patch, settings_merge, text_functions, datestamp, component_tree)
 QUERIES = {f.__name__: f for f in _FNS}
 E_ = "e as (select event_id, user_id::varchar as key, event_type as topic, value from events)"
 T_ = "t as (select event_id, user_id::varchar as key, event_type as topic, floor(epoch_us(ts) / 1000000)::double as sec from events)"
@@ -288,7 +300,8 @@ SQL = {
     "telemetry_view": f"with {T_}, g as (select topic, key, count(*) as total, max(sec) - min(sec) as span from t group by all) select topic, key, total, round(coalesce(case when span <> 0 then total / span end, 0.0), 9) as rate from g order by rate desc, total desc, topic, key limit 20",
     "log_encode": "select event_id, (props::json->>'k')::bigint as k from events",
     "log_scan": "select event_id, (props::json->>'k')::bigint as k from events where event_id % 10 not in (0, 1)",
-    "perf_runs": "select event_id // 100 as run_idx, count(*) as n, sum((props::json->>'k')::bigint)::bigint as k from events where event_id < 5000 and event_id % 100 <> 0 group by 1",
+    "perf_runs": "select event_id // 100 as run_idx, count(*) as n, sum((props::json->>'k')::bigint)::bigint as k from events where event_id % 100 <> 0 group by 1",
+    "ndarray_codec": "select vec_id, true as same, case vec_id % 4 when 0 then '<f8' when 1 then '<f4' when 2 then '<i2' else '>i4' end as dtype, '4x16' as shape from embeddings",
     "array_codec": "select vec_id, true as same, len(embedding)::integer as n from embeddings",
     "settings_latest": f"with {S_} select address, arg_max(value, seq) as value, max(seq) as seq from s group by address",
     "settings_effective": f"""with {S_}, l as (select address, arg_max(kind, seq) as kind, arg_max(value, seq) as value from s group by 1), i as (select address, arg_max(value, seq) as initial from s where kind = 'initial' group by 1)

@@ -76,8 +76,7 @@ def perf_report_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def perf_axis_values(spark: SparkSession, d: str) -> DataFrame:
-    e = entries(spark, d).select(F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), F.col(k).cast("string").alias("value")) for k in KEYS])).alias("x"))
-    return e.select("x.*").distinct().orderBy("axis", "value")
+    return stats.axis_values(entries(spark, d), KEYS)
 
 
 def perf_formatted(spark: SparkSession, d: str) -> DataFrame:

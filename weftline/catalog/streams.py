@@ -62,5 +62,8 @@ SQL = {
     "stream_gate": "select user_id, event_id from events qualify row_number() over (partition by user_id order by event_id) <= 3",
     "stream_tumbling": """select epoch(date_trunc('day', ts))::bigint as start, count(*) as n, round(sum(value), 6) as total from events
         group by 1 having max(date_trunc('day', ts)) + interval 1 day <= (select max(ts) from events)""",
+    "stream_sessions": """with e as (select user_id, ts, ts >= lag(ts) over w + interval 2 hours or lag(ts) over w is null as new from events window w as (partition by user_id order by ts)),
+        s as (select user_id, ts, sum(new::integer) over (partition by user_id order by ts rows unbounded preceding) as k from e)
+        select epoch(date_trunc('second', min(ts)))::bigint as start, epoch(date_trunc('second', max(ts) + interval 2 hours))::bigint as "end", user_id, count(*) as n from s group by user_id, k""",
     "pipeline_graph": "select count(*) as n from events where event_type = 'click'",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import topology as g
+from weftline.plans import control
 from weftline.session import table
 
 
@@ -16,7 +17,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return n.unionByName(c).unionByName(x)
 
 
-EDGES = """edges as (select 'r' || n_regionkey as src, 'n' || n_nationkey as dst from nation union all select 'n' || c_nationkey, 'c' || c_custkey from customer where c_custkey < 100
+EDGES = """edges as (select 'r' || n_regionkey as src, 'n' || n_nationkey as dst from nation union all select 'n' || c_nationkey, 'c' || c_custkey from customer
     union all select 'r' || n_regionkey, 'n' || ((n_nationkey + 1) % 5 + 20) from nation)"""
 REACH = f"{EDGES}, nodes as (select src as node from edges union select dst from edges), reach(start, node) as (select node, node from nodes union select start, dst from reach join edges on src = node)"
 
@@ -37,7 +38,7 @@ def paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 PATHS = """paths as (select 'R' || n_regionkey || '/N' || n_nationkey || '/C' || c_custkey || '/OUT' as src, 'R' || ((n_regionkey + 1) % 5) || '/HUB/IN' as dst
-    from customer join nation on c_nationkey = n_nationkey where c_custkey < 60)"""
+    from customer join nation on c_nationkey = n_nationkey)"""
 
 
 def topology(spark, d):
@@ -117,6 +118,22 @@ def relay_rewrite(spark, d):
     return g.relay_rewrite(g.topology(edges(spark, d)), relays)
 
 
+def _topology_events(spark, d):
+    """Clicks connect a user with what it clicked on, views disconnect it, purchases end all that the user holds."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "click", "connect").when(F.col("event_type") == "view", "disconnect").when(F.col("event_type") == "purchase", "exit")
+    end = F.when(kind != "exit", F.concat(F.lit("t"), F.pmod(F.col("event_id") * 7, F.lit(50))))
+    return e.select(F.col("event_id").alias("seq"), kind.alias("kind"), F.when(kind != "exit", F.lit("hub")).alias("src"), end.alias("dst"), F.concat(F.lit("u"), F.pmod("user_id", F.lit(9))).alias("owner")).where("kind is not null")
+
+
+def topology_state(spark, d):
+    return control.topology_at(_topology_events(spark, d))
+
+
+def topology_changes(spark, d):
+    return control.topology_changes(_topology_events(spark, d))
+
+
 def subscription_diff(spark, d):
     n = table(spark, d, "nation")
     return g.subscription_diff(n.where("n_nationkey < 15").select(F.col("n_name").alias("publisher")), n.where("n_nationkey > 8").select(F.col("n_name").alias("publisher")))
@@ -145,8 +162,12 @@ def adjacency(spark, d):
     return g.flat_edges(g.adjacency(edges(spark, d)))
 
 
-_FNS = (topology, graph_nodes, downstream, upstream, leaves, proxies, prune, contract_proxies, levels, compact_graph, routing, reach_counts, remove_owner, remove_edge, live_edges, owners_per_edge, relay_rewrite, subscription_diff, unit_process, ownership_conflict, metadata_collisions, adjacency)
+_FNS = (topology, graph_nodes, downstream, upstream, leaves, proxies, prune, contract_proxies, levels, compact_graph, routing, reach_counts, remove_owner, remove_edge, live_edges, owners_per_edge, relay_rewrite, topology_state, topology_changes, subscription_diff, unit_process, ownership_conflict, metadata_collisions, adjacency)
 QUERIES = {f.__name__: f for f in _FNS}
+HOLDS = """ev as (select event_id as seq, case event_type when 'click' then 'connect' when 'view' then 'disconnect' else 'exit' end as kind, 't' || (event_id * 7 % 50) as dst, 'u' || (user_id % 9) as owner
+        from events where event_type in ('click', 'view', 'purchase')),
+    ed as (select distinct dst, owner from ev where kind = 'connect'),
+    m as (select seq, dst, owner, kind = 'connect' as on_ from ev where kind <> 'exit' and (dst, owner) in (select dst, owner from ed) union all select x.seq, ed.dst, ed.owner, false from ev x join ed using (owner) where x.kind = 'exit')"""
 SQL = {
     "topology": f"with {EDGES} select distinct * from edges",
     "graph_nodes": f"with {EDGES} select src as node from edges union select dst from edges",
@@ -161,7 +182,7 @@ SQL = {
     # HUB stays one level below its region, whose other parts are deeper; OUT and IN both move to their parents
     "compact_graph": f"with {PATHS} select distinct regexp_extract(src, '^(.*)/[^/]*$', 1) as src, regexp_extract(dst, '^(.*)/[^/]*$', 1) as dst from paths",
     "routing": f"""with recursive {REACH}, pubs as (select 'pub' || n_nationkey as publisher, 'n' || n_nationkey as topic from nation union all select 'pubr' || r_regionkey, 'r' || r_regionkey from region),
-        subs as (select 'sub' || c_custkey as subscriber, 'c' || c_custkey as topic from customer where c_custkey < 50)
+        subs as (select 'sub' || c_custkey as subscriber, 'c' || c_custkey as topic from customer)
         select distinct subscriber, publisher from subs join reach on reach.node = subs.topic join pubs on pubs.topic = reach.start""",
     "reach_counts": f"with recursive {REACH} select start, count(*) as n from reach where start not in (select dst from edges) group by start",
     "remove_owner": f"with {OWNED} select distinct src, dst from owned where owner is distinct from 's1'",
@@ -171,6 +192,12 @@ SQL = {
     "relay_rewrite": f"""with {EDGES}, r as (select 'n' || n_nationkey as t from nation where n_nationkey % 3 = 0)
         select distinct case when src in (select t from r) then src || '/out' else src end as src, case when dst in (select t from r) then dst || '/in' else dst end as dst from edges
         union select t || '/in', t || '/out' from r where t in (select src from edges union select dst from edges)""",
+    "topology_state": f"with {HOLDS} select 'hub' as src, dst, owner from m group by dst, owner having arg_max(on_, seq)",
+    # an edge is held by the owners whose last mark so far is a connect; it changes where that number leaves or reaches 0
+    "topology_changes": f"""with {HOLDS}, o as (select *, coalesce(lag(on_) over (partition by dst, owner order by seq), false) as was from m),
+        n as (select seq, dst, sum(case when on_ and not was then 1 when was and not on_ then -1 else 0 end) as step from o group by seq, dst),
+        t as (select *, sum(step) over (partition by dst order by seq) as now_ from n where step <> 0)
+        select seq, case when step > 0 then 'added' else 'removed' end as change, 'hub' as src, dst from t where (now_ = 0) <> (now_ - step = 0)""",
     "subscription_diff": "select n_name as publisher, 'register' as change from nation where n_nationkey >= 15 union all select n_name, 'unregister' from nation where n_nationkey <= 8",
     "unit_process": "select n_name as address, min(n_regionkey) as pid from nation where n_nationkey % 2 = 0 group by 1",
     "ownership_conflict": "select (n_nationkey % 3)::integer as pid, n_name as address, n_regionkey as holder from nation where n_nationkey % 3 <> n_regionkey",

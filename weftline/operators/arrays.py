@@ -116,7 +116,8 @@ def iter_over(df: DataFrame, dim: str, name: str | None = None) -> DataFrame:
 def concatenate(parts: Sequence[DataFrame], dim: str, lengths: Sequence[int], new: bool = False) -> DataFrame:
     """Long arrays joined along a dimension: appended along one they have, or stacked along a new one.
 
-    A column key stays only where all parts agree; else it is empty.
+    A column key stays only where all parts agree; else it is empty.  That is a
+    subquery of the plan: nothing is computed here.
     """
     out = None
     for i, part in enumerate(parts):
@@ -125,8 +126,8 @@ def concatenate(parts: Sequence[DataFrame], dim: str, lengths: Sequence[int], ne
         out = part if out is None else out.unionByName(part)
     assert out is not None
     if "key" in out.columns:
-        ends = out.agg(F.min("key"), F.max("key")).first()
-        out = out.withColumn("key", F.lit(ends[0] if ends[0] == ends[1] else ""))
+        one = out.agg(F.when(F.min("key") == F.max("key"), F.min("key")).otherwise("").alias("key")).scalar()
+        out = out.withColumn("key", one)
     return out
 
 

@@ -129,3 +129,18 @@ def after(events: DataFrame, cursor: int, seq: str = "seq", retained: int | None
         newest_seq = events.agg(F.max(seq)).first()[0]
         cursor = max(cursor, (newest_seq or 0) - retained)
     return events.where(F.col(seq) > cursor)
+
+
+def modulus(df: DataFrame, value: str, n: int, name: str = "modulus") -> DataFrame:
+    """df plus the remainder of a column, never negative."""
+    return df.withColumn(name, F.pmod(F.col(value), F.lit(n)))
+
+
+def relay(df: DataFrame) -> DataFrame:
+    """Messages as they are; rows cannot change, so a copy of them is they themselves."""
+    return df.select("*")
+
+
+def over_length(counts: DataFrame, waiting: str, above: int) -> DataFrame:
+    """Steps at which a queue held more than `above` messages."""
+    return counts.where(F.col(waiting) > above)

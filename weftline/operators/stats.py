@@ -120,3 +120,9 @@ def environment_diff(a: DataFrame, b: DataFrame, key: str = "field", value: str
     """Fields that differ between two (field, value) tables, those of either side."""
     both = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key, "full")
     return both.where(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def axis_values(entries: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """axis and value: every value, as text, that entries have on each axis, in order."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("axis"), F.col(k).cast("string").alias("value")) for k in axes])
+    return entries.select(F.explode(pairs).alias("x")).select("x.*").distinct().orderBy("axis", "value")

@@ -71,3 +71,8 @@ def drop_summary(df: DataFrame, counter: str, latency: str, keys: Sequence[str])
 def ranked_view(endpoints: DataFrame, rate: str, total: str, rest: Sequence[str], most: int) -> DataFrame:
     """The busiest endpoints: by rate, then total, both falling, then names."""
     return endpoints.orderBy(F.desc(rate), F.desc(total), *rest).limit(most)
+
+
+def receiver_totals(df: DataFrame, channel: str, order_by: str, keys: Sequence[str]) -> DataFrame:
+    """Messages each receiver has got, and the channel of the last one."""
+    return df.groupBy(*keys).agg(F.count("*").alias("received_total"), F.max_by(channel, order_by).alias("last_channel"))

@@ -123,3 +123,16 @@ def pair_order(rounds: int, seed: int) -> list[str]:
     order = ["AB" if i % 2 == 0 else "BA" for i in range(rounds)]
     random.Random(seed).shuffle(order)
     return order
+
+
+def bench_grid(parameters: dict[str, list], iterations: int = 1, zipped: bool = False, seed: int | None = None) -> list[dict]:
+    """Cases of a benchmark: all combinations of parameters, or with zipped the first of each, the second of each and so on; each `iterations` times, shuffled by the seed."""
+    import itertools
+    import random
+
+    combined = zip(*parameters.values(), strict=True) if zipped else itertools.product(*parameters.values())
+    cases = [dict(zip(parameters, values, strict=True)) for values in combined]
+    out = [{**c, "iteration": i} for i in range(iterations) for c in cases]
+    if seed is not None:
+        random.Random(seed).shuffle(out)
+    return out

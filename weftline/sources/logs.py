@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,6 +30,62 @@ def write_log(messages: DataFrame, path: str, ts: str = "ts", obj: str = "obj",
     messages.select(log_line(F.col(ts), F.col(obj)).alias("value")).write.mode(mode).text(path)
 
 
+class MessageLogger:
+    """Logs messages to every open path and passes them on.
+
+    open() truncates a path and writes the start marker; a path that is open
+    already stays as it is.  log() serves batches and, as the function of
+    foreachBatch, streams.  With a write period, batches are kept in the shared
+    folder and written together once it has passed, and at flush() or close().
+    """
+
+    def __init__(self, path: str | None = None, write_period: float = 0.0, clock: Callable[[], float] = time.time) -> None:
+        self.paths: list[str] = []
+        self.first, self.write_period, self.clock = path, write_period, clock
+        self.kept: list[DataFrame] = []
+        self.since = clock()
+
+    def open(self, spark: SparkSession, path: str) -> str | None:
+        """The path if it is now open and was not."""
+        if path in self.paths:
+            return None
+        marker = spark.range(1).select(log_line(F.unix_micros(F.current_timestamp()) / 1e6, F.lit(START)).alias("value"))
+        marker.write.mode("overwrite").text(path)
+        self.paths.append(path)
+        return path
+
+    def close(self, path: str) -> str | None:
+        """The path if it was open; what is kept is written first."""
+        if path not in self.paths:
+            return None
+        self.flush()
+        self.paths.remove(path)
+        return path
+
+    def log(self, messages: DataFrame, batch_id: int | None = None) -> DataFrame:
+        """messages (ts, obj), unchanged."""
+        if self.first is not None:
+            self.open(messages.sparkSession, self.first)
+            self.first = None
+        lines = messages.select(log_line(F.col("ts"), F.col("obj")).alias("value"))
+        if self.write_period <= 0:
+            self.write(lines)
+        else:
+            self.kept.append(cut(lines))
+            if self.clock() - self.since >= self.write_period:
+                self.flush()
+        return messages
+
+    def write(self, lines: DataFrame) -> None:
+        for path in self.paths:
+            lines.write.mode("append").text(path)
+
+    def flush(self) -> None:
+        if self.kept:
+            self.write(functools.reduce(DataFrame.unionByName, self.kept))
+        self.kept, self.since = [], self.clock()
+
+
 def perf_runs(lines: DataFrame, entry_schema: str, order_by: str = "line_no") -> DataFrame:
     """Entries (value) with run_idx: each environment line but the first begins the next run.
 
