@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from types import ModuleType
@@ -23,8 +24,6 @@ PLAIN = re.compile("[\t-\r\x20-\x7e¡-įı-ſ]*")
 _LETTERS, _DIGITS, _SPACE = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾", "\t-\r\x20"
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{_DIGITS}]+")
 END = "</w>"
-#: Slices whose words are kept when memory runs out.
-LATELY = 2
 
 
 def byte_letters() -> list[str]:
@@ -39,10 +38,28 @@ def byte_letters() -> list[str]:
     return out
 
 
+#: The last characters of a prefix that tell how long a token that ends there can be.
+TAIL = 3
+ONE = (1,)
+
+
+def _lengths(known: Iterable[str]) -> dict[str, tuple[int, ...]]:
+    """For each ending of up to TAIL characters the lengths of tokens that may end a prefix that ends so, longest first."""
+    tails = {t[-k:] for t in known for k in range(1, TAIL + 1) if len(t) >= k}
+    out: dict[str, set[int]] = {x: {1} for x in tails}
+    short: dict[str, set[int]] = {}
+    for t in known:
+        if len(t) >= TAIL:
+            out[t[-TAIL:]].add(len(t))
+        else:
+            short.setdefault(t, set()).add(len(t))
+    return {x: tuple(sorted(n | {k for k in range(1, TAIL) if x[-k:] in short}, reverse=True)) for x, n in out.items()}
+
+
 class WordBpe:
     """A word-level BPE tokenizer read from its JSON description (NFC, lower case, byte letters, END on last letters)."""
 
-    def __init__(self, described: str, most_words: int = 250_000):
+    def __init__(self, described: str, most_words: int = 400_000):
         from tokenizers import Tokenizer
 
         spec = json.loads(described)
@@ -65,14 +82,25 @@ class WordBpe:
         self.letters = byte_letters()
         self.bytes = {c: b for b, c in enumerate(self.letters)}
         self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by left << 32 | right
         whole = [t for t in self.vocab if self.whole(self.vocab[t])]
         self.ending = {END: {t.removesuffix(END): self.vocab[t] for t in whole if t.endswith(END)}, "": {t: self.vocab[t] for t in whole if not t.endswith(END)}}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.lengths = {end: _lengths(known) for end, known in self.ending.items()}
+        self.width = {i: len(t.removesuffix(END)) for i, t in self.names.items()}
+        self.words: dict[str | int, bytes] = {}  # tokens as 32-bit numbers
+        self.forget()
         self.most_words = most_words
-        self.lately: list[set[str]] = []  # the words of the last slices
+        self.spelled = [self.names.get(i, "") for i in range(max(self.names) + 1)]
         self.library = Tokenizer.from_str(described)
 
+    def forget(self) -> None:
+        """Of words only special tokens are known."""
+        self.words, self.fits = {i: np.int32(i).tobytes() for i in self.special.values()}, {}
+
+    def encoding(self, word: str | int) -> list[int]:
+        """The tokens of a word that is known."""
+        return np.frombuffer(self.words[word], np.int32).tolist()
+
     def symbols(self, token: int) -> list[int]:
         name = self.names[token]
         ends = name.endswith(END)
@@ -98,7 +126,7 @@ class WordBpe:
         left, right = self.parts[token]
         own = self.merges.pop((left, right))
         fits = self.fit(left, right)
-        self.fits.pop((left, right))
+        self.fits.pop(left << 32 | right)
         self.merges[left, right] = own
         return fits and self.whole(left) and self.whole(right)
 
@@ -109,9 +137,10 @@ class WordBpe:
         if some merge across the boundary came before the one undone last;
         among equal ranks the leftmost comes first.
         """
-        if (known := self.fits.get((left, right))) is not None:
+        key = left << 32 | right
+        if (known := self.fits.get(key)) is not None:
             return known
-        key, limit, rank, crossing = (left, right), self.never, self.rank, self.merges.get
+        limit, rank, crossing = self.never, self.rank, self.merges.get
         while True:
             if (across := crossing((left, right))) is not None and across[0] < limit:
                 ok = False
@@ -132,14 +161,14 @@ class WordBpe:
 
         Exactly one token that ends there fits the token before it.
         """
-        known, fits = self.ending[end].get, self.fits.get
-        for start in range(max(0, depth - self.longest), depth):
-            t = known(path[start:depth])
-            if t is not None:
-                if start == 0:
+        known, fits, lengths = self.ending[end], self.fits.get, self.lengths[end].get
+        for n in lengths(path[max(0, depth - TAIL) : depth]) or lengths(path[max(0, depth - TAIL + 1) : depth], ONE):
+            if n <= depth and (t := known.get(path[depth - n : depth])) is not None:
+                if n == depth:
                     return t
-                ok = fits((tokens[start], t))
-                if self.fit(tokens[start], t) if ok is None else ok:
+                before = tokens[depth - n]
+                ok = fits(before << 32 | t)
+                if self.fit(before, t) if ok is None else ok:
                     return t
         raise AssertionError("every byte is a token")
 
@@ -152,6 +181,7 @@ class WordBpe:
         mapped = sorted(("".join(map(self.letters.__getitem__, w.encode())), w) for w in words)
         tokens: list[int] = [-1]
         before = ""
+        known, lengths, fits, width, t = self.ending[""].get, self.lengths[""].get, self.fits, self.width, -1
         for path, word in mapped:
             last = len(path) - 1
             shared, most = 0, min(len(tokens) - 1, last, len(before))
@@ -159,13 +189,22 @@ class WordBpe:
                 shared += 1
             del tokens[shared + 1 :]
             for depth in range(shared + 1, last + 1):
-                tokens.append(self.last_token(path, depth, "", tokens))
+                tail = path[depth - TAIL if depth > TAIL else 0 : depth]
+                for n in lengths(tail) or lengths(tail[1 - TAIL :], ONE):  # last_token, in line
+                    if n <= depth and (t := known(path[depth - n : depth])) is not None:
+                        if n == depth:
+                            break
+                        left = tokens[depth - n]
+                        ok = fits.get(left << 32 | t)
+                        if self.fit(left, t) if ok is None else ok:
+                            break
+                tokens.append(t)
             found = [self.last_token(path, last + 1, END, tokens)]
-            at = last + 1 - len(self.names[found[0]]) + len(END)
+            at = last + 1 - width[found[0]]
             while at:
-                found.append(tokens[at])
-                at -= len(self.names[tokens[at]])
-            self.words[word] = tuple(reversed(found))
+                found.append(t := tokens[at])
+                at -= width[t]
+            self.words[word] = array("i", found[::-1]).tobytes()
             before = path
 
     def split(self, text: str) -> list[str]:
@@ -175,29 +214,26 @@ class WordBpe:
         pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(map(self.bytes.__getitem__, p)).decode() for p, _ in pieces]
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        cut = []
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The tokens of each text."""
+        cut: list[list[str | int]] = []
         for t in texts:
-            if self.cut is not None and "<" in t and self.cut.search(t):
-                cut.append([(self.special[x],) if i % 2 else self.split(x) for i, x in enumerate(self.cut.split(t))])
+            if self.cut is not None and "<" in t and self.cut.search(t):  # a special token goes by its id
+                cut.append([w for i, x in enumerate(self.cut.split(t)) for w in ([self.special[x]] if i % 2 else self.split(x))])
             else:
-                cut.append([self.split(t)])
-        met = {w for parts in cut for p in parts if isinstance(p, list) for w in p}
+                cut.append(self.split(t))
+        met = set(chain.from_iterable(cut))
         new = met - self.words.keys()
-        if len(self.words) + len(new) > self.most_words:  # bounded memory: what neither this nor the last slices had is forgotten, and encoded again when it comes
-            lately = met.union(*self.lately)
-            self.words = {w: ids for w, ids in self.words.items() if w in lately}
-            self.fits = {} if len(self.fits) > self.most_words else self.fits
-            if len(self.words) > self.most_words // 2:
-                self.words, new = {}, met
-        self.lately = [*self.lately[1 - LATELY :], met]
+        if len(self.words) + len(new) > self.most_words:  # bounded memory; what is forgotten is encoded again
+            self.forget()
+            new = met - self.words.keys()
         self.learn(new)
         of = self.words.__getitem__
-        return [list(chain.from_iterable(chain.from_iterable(map(of, p)) if isinstance(p, list) else p for p in parts)) for parts in cut]
+        return [np.frombuffer(b"".join(map(of, words)), np.int32) for words in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token strings with a space between: the description names no decoder."""
-        return " ".join(map(self.names.__getitem__, ids))
+        return " ".join(map(self.spelled.__getitem__, ids))
 
 
 def tokenizer(described: str) -> WordBpe:
@@ -237,12 +273,13 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", slice_c
         for b in pieces(batches, len(others)):
             texts = b.column(len(others)).to_pylist()
             for i, j in slices([len(t) for t in texts], slice_chars):
-                ids = bpe.encode_all(texts[i:j])
+                ids = bpe.encode(texts[i:j])
                 ends = np.cumsum([0, *map(len, ids)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])))
-                decoded = pa.array([bpe.decode(x) for x in ids], pa.string())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+                decoded = pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())
                 rest = [b.column(c).slice(i, j - i) for c in range(len(others))]
                 yield pa.RecordBatch.from_arrays([*rest, lists, decoded], names=[*others, "ids", "decoded"])
+        bpe.forget()  # the worker may serve other operators next
 
     return sent.mapInArrow(run, schema)
 

@@ -94,6 +94,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 4 <
         sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
         for i, j in slices(sizes, most):
             yield b.slice(i, j - i)
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 U64 = np.uint64
