@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew if its rows lie in fewer partitions than there are cores, as those of a file that cannot be split do."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    found = df.select(F.spark_partition_id().alias("part")).distinct().count()  # reads no column
+    return df.repartition(cores) if 0 < found < cores else df
+
+
 def fan_out(spark: SparkSession) -> int:
     """Partitions of a shuffle that an operator deals out itself: as many as Spark's own."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, exact_dedup, langid, mixing, ngram_join, quality, secrets, sharding, suffix_dedup, topk
-from weftline.llm.common import cut, id_remainder, table
+from weftline.llm.common import cut, id_remainder, spread, table
 
 #: Where the tokenizer's file is, on the driver.
 TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -24,26 +24,26 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and places of secrets in every text; odd rows as find_secrets states."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = secrets.train(secrets.labelled_samples(docs))
     return secrets.secret_report(secrets.find_secrets(docs, model))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set, and its component; odd rows as jaccard_components states."""
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document.  A null id is held out; other odd rows as predict_languages states."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "text", "lang", F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"))
     model = langid.fit_languages(docs.where("not held_out"))
     return langid.predict_languages(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document.  A null id is held out; other odd rows as score_quality states."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(True)).alias("held_out"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(True)).alias("held_out"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null")
     net = quality.fit_quality(docs.where("not held_out").join(labels, "doc_id"))
     return quality.score_quality(docs, net).select("doc_id", "held_out", "score", "predicted")
@@ -68,12 +68,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every document; odd rows as exact_dedup states."""
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and the decoded text of every document; odd rows as encode_documents states."""
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+    encoded = bpe.encode_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), TOKENIZER)
     return encoded.select("doc_id", *bpe.token_digest(encoded))
 
 
@@ -84,7 +84,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans, the removed runs as start:end in bytes, joined by commas; text, what
     is left, where bytes of a character that was cut become U+FFFD.
     """
-    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    found = suffix_dedup.repeated_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     text = F.make_valid_utf8(F.col("kept").cast("string"))
     return found.select("doc_id", *suffix_dedup.removal_digest(), (F.size("spans") > 0).alias("repeats"), listed.alias("spans"), text.alias("text"))
