@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, exact_dedup, langid, mixing, ngram_join
-from weftline.llm.common import fresh, id_remainder, quoted, shared_dir, table
+from weftline.llm.common import fresh, id_remainder, quoted, shared_dir, spread, table
 from weftline.llm.queries import TOKENIZER
 
 #: Below this probability no language is believed.
@@ -118,7 +118,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, each result written to the shared folder and read as the next one's docs."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for _, stage in STAGES:
         at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(at)
