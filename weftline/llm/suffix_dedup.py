@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import cut, fan_out, slices, texts, window_hashes
 
 #: A longer text is scanned in segments of so many windows.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 SLICE = 1 << 18
 #: Suffixes that are sorted at once, and suffixes whose first bytes are laid out side by side to be compared.
 SORTED = 1 << 16
