@@ -103,6 +103,18 @@ SQL: dict[str, str] = {
         )
         select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank, vec_id, score
         from s qualify rank <= 10""",
+    "op3_ngram_join": r"""
+        with recursive words as materialized (
+            select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+        ), shingle as (
+            select distinct r, array_to_string(w[i : i + 4], ' ') as s from (select r, w, unnest(range(1, greatest(2, len(w) - 3))) as i from words where len(w) > 0)
+        ), size as (select r, count(*) as n from shingle group by r),
+        pair as (select x.r as a, y.r as b, count(*) as c from shingle x join shingle y on x.s = y.s and x.r < y.r group by all),
+        link as (select a, b from pair join size x on x.r = a join size y on y.r = b where 100 * c >= 80 * (x.n + y.n - c)),
+        edge as (select a, b from link union all select b, a from link),
+        reach as (select a, b from edge union select reach.a, edge.b from reach join edge on reach.b = edge.a)
+        select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, (select min(d.doc_id) from reach join words d on d.r = reach.b where reach.a = words.r)) as component_id
+        from words left join size using (r)""",
     "op7_mixing": """
         with recursive per as (
             select source, sum(coalesce(strlen(text), 0))::double as has from documents group by source
