@@ -8,10 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.catalog import streams
 from weftline.functions import axis, codec, text
 from weftline.operators import arrays, messages, stats, telemetry, topology
 from weftline.plans import pipeline, report
 from weftline.sources import logs, replay
+from weftline.streaming import stream
 
 
 def vector(spark, values, shape_dims=None):
@@ -243,3 +245,22 @@ def test_drawings():
         report.drawing_url("x", "nowhere")
     order = report.pair_order(5, 1)
     assert sorted(order) == ["AB", "AB", "AB", "BA", "BA"] and order == report.pair_order(5, 1)
+
+
+def test_no_row_holds_all_targets_of_a_node(spark):
+    edges = [("hub", f"t{i}") for i in range(7)] * 2 + [("a", "hub")]
+    got = topology.adjacency(graph(spark, edges), most=3)
+    listed = {(r["node"], r["part"]): r["targets"] for r in got.collect()}
+    assert [listed["hub", k] for k in range(3)] == [["t0", "t1", "t2"], ["t3", "t4", "t5"], ["t6"]]
+    assert listed["a", 0] == ["hub"] and listed["t0", 0] == [] and len(listed) == 3 + 1 + 7
+    assert {tuple(r) for r in topology.flat_edges(got).collect()} == set(edges)
+
+
+def test_a_gate_leaves_the_session_as_it_is(spark):
+    (name,) = stream.GATE_SETTINGS
+    before = spark.conf.get(name)
+    with stream.settings(spark, stream.GATE_SETTINGS):
+        assert spark.conf.get(name) == stream.GATE_SETTINGS[name]
+    assert spark.conf.get(name) == before
+    assert streams.stream_gate(spark, "/root/testdata/sf0.001").count() > 0
+    assert spark.conf.get(name) == before

@@ -32,7 +32,7 @@ def stream_union(spark, d):
 
 def stream_gate(spark, d):
     x = _stream(spark, d).select("user_id", "event_id")
-    return s.drain(s.gate(x, "user_id", "event_id", start_open=True, default_after=3))
+    return s.drain(s.gate(x, "user_id", "event_id", start_open=True, default_after=3), started_with=s.GATE_SETTINGS)
 
 
 def stream_tumbling(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.session import cut
@@ -179,7 +179,15 @@ def flat_edges(adjacency: DataFrame) -> DataFrame:
     return adjacency.select(F.col("node").alias("src"), F.explode("targets").alias("dst"))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """A row for each node with its sorted targets."""
-    out = edges.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_set("dst")).alias("targets"))
-    return nodes(edges).join(out, "node", "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
+def adjacency(edges: DataFrame, most: int = 100_000) -> DataFrame:
+    """A row for each node with its sorted targets: node, part, targets.
+
+    A node with over `most` targets has a row for each `most` of them, part 0
+    the smallest, so that no row grows with the graph; a node without targets
+    has part 0 with an empty list.
+    """
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
+    placed = edges.select("src", "dst").distinct().withColumn("part", F.floor(place / most).cast("int"))
+    out = placed.groupBy(F.col("src").alias("node"), "part").agg(F.sort_array(F.collect_list("dst")).alias("targets"))
+    found = nodes(edges).join(out, "node", "left")
+    return found.select("node", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))

@@ -6,6 +6,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,21 +18,38 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from weftline.operators.messages import GateState
 from weftline.session import shared_dir
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What a session must be set to where a query with a gate starts; the query keeps it.
+GATE_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """A session with these settings for a while, then with its own again."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def drain(stream: DataFrame, mode: str = "append", started_with: dict[str, str] | None = None) -> DataFrame:
     """All that is there by now, as a batch: runs to the end of the available data and reads what was written.
 
     mode complete: the result after the last step, windows that are still open included.
+    started_with: settings of the query alone.
     """
     at = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
     if mode == "complete":
         stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{at}/out")
-        q = out.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out")).start()
+        out = out.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out"))
     else:
-        q = out.format("parquet").option("path", f"{at}/out").start()
+        out = out.format("parquet").option("path", f"{at}/out")
+    with settings(stream.sparkSession, started_with or {}):
+        q = out.start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -69,8 +87,9 @@ def gate(messages: DataFrame, key: str, order_by: str, controls: DataFrame | Non
     """A stream's messages that a gate lets pass, for each key; controls: a stream of (key, order_by, open).
 
     Within a step rows are taken in order; the state is kept between steps.
+    A step's rows of one key meet in one task, so steps bound its memory.  The
+    query needs GATE_SETTINGS when it starts; the session is left as it is.
     """
-    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     both = messages.select("*", F.lit(None).cast("boolean").alias("gate_open"), F.lit(1).alias("gate_side"))
     if controls is not None:
         both = both.unionByName(controls.select(key, order_by, F.col("open").alias("gate_open"), F.lit(0).alias("gate_side")), allowMissingColumns=True)
