@@ -135,14 +135,19 @@ def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """A hash of data[i : i + width] for each i: windows of doubled width from both halves, then those that add up to width."""
-    h, size, whole, done = BYTE_WORDS[data], 1, None, 0
+    """A hash of data[i : i + width] for each i."""
+    return joined_windows(BYTE_WORDS[data], width)
+
+
+def joined_windows(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of h[i : i + width] for each i: windows of doubled width from both halves, then those that add up to width."""
+    items, size, whole, done = len(h), 1, None, 0
     while True:
         if width & size:
             if whole is None:
                 whole, done = h, size
             else:
-                n = max(0, len(data) - done - size + 1)
+                n = max(0, items - done - size + 1)
                 whole, done = joined(whole[:n], h[done : done + n]), done + size
         if done == width:
             return whole

@@ -14,6 +14,9 @@ from weftline.llm.common import cut, id_remainder, spread, table
 #: Where the tokenizer's file is, on the driver.
 TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
 
+#: A passage that op10 reports has more words.
+PASSAGE_WORDS = 50
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -82,12 +85,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Beyond the columns of the digest: repeats, whether anything is removed;
     spans, the removed runs as start:end in bytes, joined by commas; text, what
-    is left, where bytes of a character that was cut become U+FFFD.
+    is left, where bytes of a character that was cut become U+FFFD.  And
+    n_passages and passages: the runs of over PASSAGE_WORDS words that occur
+    again, of whatever length in bytes.  Those under 400 bytes stay in the text.
     """
-    found = suffix_dedup.repeated_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    found = suffix_dedup.repeated_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), words=PASSAGE_WORDS + 1)
+    listed, passages = (F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",") for c in ("spans", "passages"))
     text = F.make_valid_utf8(F.col("kept").cast("string"))
-    return found.select("doc_id", *suffix_dedup.removal_digest(), (F.size("spans") > 0).alias("repeats"), listed.alias("spans"), text.alias("text"))
+    return found.select("doc_id", *suffix_dedup.removal_digest(), (F.size("spans") > 0).alias("repeats"), listed.alias("spans"), text.alias("text"), F.size("passages").cast("long").alias("n_passages"), passages.alias("passages"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk, op2_secrets, op3_ngram_join, op4_langid, op5_sharding, op6_quality, op7_mixing, op8_exact_dedup, op9_bpe, op10_suffix_dedup)}
